@@ -67,13 +67,16 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
 class Texts:
     """The words, hashes and prefix sums of a slice's texts."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, table: np.ndarray | None = None):
+        """``table`` maps bytes, as for lower case."""
         if not pa.types.is_string(column.type):
             column = column.cast(pa.string())
         off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         body = column.buffers()[2]
         data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
         self.data, self.off = data[off[0] : off[-1]], off - off[0]
+        if table is not None:
+            self.data = table[self.data]
         self.n_docs, n = len(column), len(self.data)
         gap = SPACES[self.data]
         self.gap = gap
