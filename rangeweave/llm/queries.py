@@ -8,10 +8,12 @@ from .pieces import op2_sentencepiece
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op9_quality_rules
 from .token_ids import op7_token_ids
+from .substrings import op3_substrings
 from .warc import op4_warc
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_substrings": op3_substrings,
     "op4_warc": op4_warc,
     "op5_context_mixing": op5_context_mixing,
     "op6_mixing": op6_mixing,
