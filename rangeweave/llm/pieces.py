@@ -4,7 +4,8 @@ A text becomes symbols, one a character, and an agenda of adjacent pairs that ar
 among equals.  The best pair is merged and its neighbours enter the agenda, until none is left; characters outside the
 vocabulary fall back to their bytes.  No piece of such a vocabulary goes on past a word's end into the next ``▁``, so texts
 are cut there, each distinct word is merged once, and many words' agendas advance together as numpy rows.  Longer chunks
-use a heap.  Every Arrow batch is then checked against the ``sentencepiece`` library, which also decodes the ids.
+use a heap.  In every Arrow batch the words not met before are checked against the ``sentencepiece`` library, which also
+decodes the ids.
 
 Null texts count as empty; empty texts have no ids.  Rows are independent: repeats, ties and hot sources need no care.
 """
@@ -22,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from ._text import chunks, ragged
 
 ROW = 24  # characters of the words that are merged as rows
 GROUPS = (5, 8, 12, ROW)  # words of like length share a matrix
-WORDS_KEPT = 600_000
+WORDS_KEPT = 1_200_000
 BARE = "\x01"  # stands before a word that no space precedes
 MARKS = ",.;:!?"
 NEVER = np.int64(1 << 40)
@@ -62,7 +63,7 @@ class Agenda:
         self.known: dict[str, int] = {}
         self.text: list[str] = []
         self.pool, self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used, self.wrong = 0, np.zeros(1 << 14, bool)
         fixed = [w for w in (MARKS if self.marks_apart else "") + "\n" * self.lines_apart]
         ids = [self.merge_long(w) for w in fixed]
         self.nothing = 0
@@ -150,14 +151,21 @@ class Agenda:
             return np.array(list(chain.from_iterable(parts)), np.int64), np.diff(ends)
         return flat, left
 
-    def _add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray, text: list[str]) -> None:
+    def _add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray, text: list[str], asked: list[tuple[str, int]] | None = None) -> None:
+        """``asked``: what to give the library for each word; its ids must end with the word's."""
         n, k = len(self.known), len(sizes)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + k > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            self.at, self.size, self.wrong = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.wrong))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.at[n : n + k], self.size[n : n + k] = self.used + np.cumsum(sizes) - sizes, sizes
+        ends = np.cumsum(sizes)
+        self.at[n : n + k], self.size[n : n + k] = self.used + ends - sizes, sizes
+        if asked:
+            flat, ends = flat.tolist(), ends.tolist()
+            theirs = self.library.encode([x for x, _ in asked], num_threads=1)
+            for i, (own, (_, skip), a, b) in enumerate(zip(theirs, asked, [0, *ends], ends)):
+                self.wrong[n + i] = own[skip:] != flat[a:b]
         self.used += len(flat)
         self.text += text
         self.known.update(zip(words, range(n, n + k), strict=True))
@@ -175,13 +183,19 @@ class Agenda:
             if own:
                 flat, sizes = self.merge_rows([spelt[i] for i in own])
                 every, ends = list(map(str, flat.tolist())), np.cumsum(sizes).tolist()
-                self._add([rest[i] for i in own], sizes, flat, [",".join(every[a:b]) for a, b in zip([0, *ends], ends)])
+                self._add([rest[i] for i in own], sizes, flat, [",".join(every[a:b]) for a, b in zip([0, *ends], ends)], [self._asked(rest[i]) for i in own])
         for i in np.flatnonzero(length > low).tolist():
             ids = self.merge_long(spelt[i])
-            self._add([rest[i]], np.array([len(ids)]), np.array(ids), [",".join(map(str, ids))])
+            self._add([rest[i]], np.array([len(ids)]), np.array(ids), [",".join(map(str, ids))], [self._asked(rest[i])])
         pairs = [(self.known[w[:-1]], self.marks[w[-1]]) for w in marked]
         both = np.array(pairs, np.int64).reshape(-1)
-        self._add(marked, self.size[both].reshape(-1, 2).sum(1), self.pool[ragged(self.at[both], self.size[both])], [f"{self.text[i]},{self.text[j]}" for i, j in pairs])
+        self._add(marked, self.size[both].reshape(-1, 2).sum(1), self.pool[ragged(self.at[both], self.size[both])], [f"{self.text[i]},{self.text[j]}" for i, j in pairs], [self._asked(w) for w in marked])
+
+    def _asked(self, word: str) -> tuple[str, int]:
+        """The text whose ids the library must end alike, and how many come before: it puts ``▁`` first, and after a newline nothing."""
+        if word[:1] == BARE:
+            return "\n" + word[1:], 2
+        return (word.removeprefix("▁"), 0) if word not in ("", "▁") else ("\n▁", 2)
 
     def _cut(self, text: str) -> list[str]:
         """A fast cut at single spaces and newlines, or else at every run of ``▁``."""
@@ -190,8 +204,8 @@ class Agenda:
             return spread.split(" ")
         return _CHUNKS.findall("▁" + text.replace(" ", "▁")) if text else []
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str]]:
-        """The ids of each text, and the same as decimals joined by commas."""
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[bool]]:
+        """The ids of each text, the same as decimals joined by commas, and whether the library agrees on all its words."""
         if len(self.known) > WORDS_KEPT:
             self.forget()
         cut = [self._cut(t) for t in texts]
@@ -203,8 +217,10 @@ class Agenda:
         flat = self.pool[ragged(self.at[which], sizes)].tolist()
         words = np.concatenate([[0], np.cumsum(counts)])
         ends = np.concatenate([[0], np.cumsum(sizes)])[words].tolist()
+        wrong = np.concatenate([[0], np.cumsum(self.wrong[which])])[words]
         text, which, words = self.text, which.tolist(), words.tolist()
-        return [flat[a:b] for a, b in zip(ends, ends[1:])], [",".join([text[i] for i in which[a:b] if i != self.nothing]) for a, b in zip(words, words[1:])]
+        joined = [",".join([text[i] for i in which[a:b] if i != self.nothing]) for a, b in zip(words, words[1:])]
+        return [flat[a:b] for a, b in zip(ends, ends[1:])], joined, (np.diff(wrong) == 0).tolist()
 
 
 @lru_cache(1)
@@ -215,10 +231,11 @@ def agenda(path: str) -> Agenda:
 ADDED = [("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()), ("matches_library", BooleanType())]
 
 
-def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
+def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False, whole_check: bool = False) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256, matches_library, and with ``keep_ids`` piece_ids (array<int>).
 
-    Other columns are carried by place, so clashing names do no harm beyond those that the caller already has.
+    Each word is checked against the library when it is first met; ``whole_check`` also gives it every whole text, which
+    takes about as long again.  Other columns are carried by place, so clashing names do no harm beyond those that the caller already has.
     """
     columns, at = docs.columns, docs.columns.index("text")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()] + [pa.list_(pa.int32())] * keep_ids
@@ -230,8 +247,9 @@ def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame
             for part in chunks(batch, "whole"):
                 model = agenda(path)
                 texts = part.column("whole").to_pylist()
-                ids, joined = model.encode(texts)
-                same = [a == b for a, b in zip(ids, model.library.encode(texts, num_threads=1))]
+                ids, joined, same = model.encode(texts)
+                if whole_check:
+                    same = [a == b for a, b in zip(ids, model.library.encode(texts, num_threads=1))]
                 decoded = [model.library.decode(x) if x else "" for x in ids]
                 sha = [[hashlib.sha256(x.encode()).hexdigest() for x in v] for v in (joined, decoded)]
                 more = [[len(x) for x in ids], *sha, same] + [ids] * keep_ids
@@ -239,7 +257,7 @@ def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame
 
     schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [StructField(f"x{i}", k) for i, (_, k) in enumerate(ADDED)])
     if keep_ids:
-        schema = schema.add("x4", "array<int>")
+        schema = schema.add("x4", ArrayType(IntegerType()))
     return docs.mapInArrow(run, schema).toDF(*columns, *names)
 
 
