@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rangeweave.llm._store import written
+from rangeweave.llm.mixing import weighed
+from rangeweave.llm.pieces import with_pieces
+from rangeweave.llm.probminhash import classes
 from rangeweave.llm.quality_rules import rejecting
+from rangeweave.llm.substrings import without_repeats
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +22,40 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rejecting(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays; of rows with its doc_id, one.  Rows without a doc_id stay."""
+    kept = written(classes(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("rw_kept")).distinct(), "kept")
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("rw_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut from the text; documents of which nothing stays go."""
+    cut = without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns).filter(F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with the wanted shares of sources, languages and topics."""
+    return weighed(docs).filter("mix_kept").select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their pieces."""
+    import public_tokenizers
+
+    return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("source_mixing", mixed),
+    ("sentencepiece", encoded),
+]
 
+#: Tokenizing and hashed sampling are not SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
