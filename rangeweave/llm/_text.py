@@ -64,8 +64,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
     yield batch.slice(start)
 
 
-class Texts:
-    """The words, hashes and prefix sums of a slice's texts."""
+class Flat:
+    """A slice's texts as one run of bytes, with hashes of spans and sums by document."""
 
     def __init__(self, column: pa.Array, table: np.ndarray | None = None):
         """``table`` maps bytes, as for lower case."""
@@ -77,7 +77,32 @@ class Texts:
         self.data, self.off = data[off[0] : off[-1]], off - off[0]
         if table is not None:
             self.data = table[self.data]
-        self.n_docs, n = len(column), len(self.data)
+        self.n_docs = len(column)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per document, the sum of a value for each byte."""
+        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return total[self.off[1:]] - total[self.off[:-1]]
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the bytes of each span; spans over LONG_WORD bytes get xxh3 instead."""
+        n = len(self.data)
+        if not hasattr(self, "_prefix"):
+            self._prefix = np.zeros(n + 1, U64)
+            np.cumsum(_BYTES[self.data] * _power(_BASE, n), out=self._prefix[1:])
+        h = (self._prefix[ends] - self._prefix[starts]) * _power(_UNBASE, n + 1)[starts]
+        h = mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]])
+        return h
+
+
+class Texts(Flat):
+    """The words of a slice's texts as well."""
+
+    def __init__(self, column: pa.Array, table: np.ndarray | None = None):
+        super().__init__(column, table)
+        n = len(self.data)
         gap = SPACES[self.data]
         self.gap = gap
         first, last = ~gap, ~gap
@@ -98,27 +123,52 @@ class Texts:
     def doc_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), self.n_words)
 
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Per document, the sum of a value for each byte."""
-        total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
-        return total[self.off[1:]] - total[self.off[:-1]]
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes of each span; spans over LONG_WORD bytes get xxh3 instead."""
-        n = len(self.data)
-        if not hasattr(self, "_prefix"):
-            self._prefix = np.zeros(n + 1, U64)
-            np.cumsum(_BYTES[self.data] * _power(_BASE, n), out=self._prefix[1:])
-        h = (self._prefix[ends] - self._prefix[starts]) * _power(_UNBASE, n + 1)[starts]
-        h = mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
-        for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-            h[i] = xxhash.xxh3_64_intdigest(self.data[starts[i] : ends[i]])
-        return h
-
     def word_hashes(self) -> np.ndarray:
         return self.spans(self.starts, self.ends)
 
 
+class Numbers:
+    """Consecutive numbers for 64-bit hashes: an open-addressed table that looks up whole arrays."""
+
+    def __init__(self, bits: int = 22):
+        self.bits, self.count = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return ((h * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 where it has none."""
+        slot, mask = self._slots(h), (1 << self.bits) - 1
+        have = self.keys[slot]
+        out = np.where(have == h, self.values[slot], -1)
+        open_ = np.flatnonzero((have != h) & (have != 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & mask
+            have = self.keys[slot]
+            hit = have == h[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            go = ~hit & (have != 0)
+            open_, slot = open_[go], slot[go]
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Number hashes that are distinct and new."""
+        own = np.arange(self.count, self.count + len(h), dtype=np.int32)
+        self.count += len(h)
+        slot, left, mask = self._slots(h), np.arange(len(h)), (1 << self.bits) - 1
+        while len(left):
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot, return_index=True)
+            one = np.zeros(len(slot), bool)
+            one[first] = True
+            put = free & one
+            self.keys[slot[put]], self.values[slot[put]] = h[left[put]], own[left[put]]
+            left, slot = left[~put], (slot[~put] + 1) & mask
+        return own
+
+
 def windows(hashes: np.ndarray, woff: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of ``size`` words that lies in one document, and each one's first word."""
     n = len(hashes) - size + 1

@@ -17,7 +17,6 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import WholeFile, drop_tables, fresh, open_file, written
-from ._text import chunks, ragged
+from ._text import Flat, Numbers, chunks, ragged
 
 MAGIC = b"RWID1\n"
 END_ID = 2
-#: Unicode's White_Space characters but space and newline.
-RARE_SPACE = tuple(map(chr, (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: Texts with any of these go to the tokenizer whole.
-NOT_CUT = (*RARE_SPACE, "  ", "\n ", " \n", "\n\n\n", "\x01")
-#: Marks that are cut from the letters before them.
-MARKS = (",", ".", ";", ":", "!", "?")
-PIECES_KEPT = 1_000_000
+PIECES_KEPT = 1_500_000
+_MARK, _LETTER, _RARE = (np.isin(np.arange(256), list(x)) for x in (b",.;:!?", bytes(range(65, 91)) + bytes(range(97, 123)), b"\t\v\f\r"))
 
 # ---------------------------------------------------------------- the code
 
@@ -72,12 +66,22 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 # ---------------------------------------------------------------- tokenizing
 
 
+def rare_space(data: np.ndarray) -> np.ndarray:
+    """Where a character of Unicode's White_Space begins, but for space and newline."""
+    out = _RARE[data]
+    for lead, seconds, thirds in ((0xC2, (0x85, 0xA0), None), (0xE1, (0x9A,), (0x80,)), (0xE2, (0x80,), (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, (0x81,), (0x9F,)), (0xE3, (0x80,), (0x80,))):
+        at = np.flatnonzero(data == lead)
+        at = at[np.isin(data[at + 1], seconds)]
+        out[at if thirds is None else at[np.isin(data[at + 2], thirds)]] = True
+    return out
+
+
 class PieceEncoder:
     """Encodes whole texts with a byte-level BPE of the ``tokenizers`` library.
 
-    Its pre-tokenizer breaks before a space between other characters, around up to two newlines and between letters and
-    punctuation.  Texts are cut there; the library encodes each distinct piece once and pieces already seen are looked up.
-    Texts with other white space (NOT_CUT) or special tokens go to the library whole.
+    Its pre-tokenizer breaks before a space between other characters, around up to two newlines, and between letters and
+    the marks that end a word.  Texts are cut there; the library encodes each distinct piece once, and pieces already seen
+    are looked up by hash, whole arrays at a time.  Texts with other white space or special tokens go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -88,7 +92,7 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size()
-        self.not_cut = (*NOT_CUT, *(t.content for t in self.library.get_added_tokens_decoder().values()))
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         (self.newline,) = self._library(["\n"])[0]
         self.forget()
@@ -97,69 +101,91 @@ class PieceEncoder:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.numbers = Numbers()
         self.pool, self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
-        self._add(["\n", "\x01"], np.array([1, 0]), np.array([self.newline], np.uint32))
-        alone = self._library(MARKS)
-        self.marks = dict(zip(MARKS, range(2, 2 + len(MARKS))))
-        self._add([f"\x01\x01{c}" for c in MARKS], np.array([len(x) for x in alone]), np.array([i for x in alone for i in x], np.uint32))
-
-    def _add(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
-        n, k = len(self.known), len(sizes)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + k > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.at[n : n + k], self.size[n : n + k] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used += len(ids)
-        self.known.update(zip(pieces, range(n, n + k), strict=True))
-
-    def learn(self, pieces: set[str]) -> None:
-        """Look up the ids of pieces: ``\\x01`` and the piece if nothing stands before it, else a space is meant."""
-        marked = [p for p in pieces if p[-1:] in self.marks and p[-2:-1].isalpha()]
-        rest = sorted(pieces.difference(marked).union([p[:-1] for p in marked]).difference(self.known))
-        for bare, glue in ((False, " "), (True, "\n")):
-            own = [p for p in rest if p.startswith("\x01") == bare]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Those after a space and the others are each encoded in one go, and told apart by the token that begins them."""
+        for spaced in (True, False):
+            which = [i for i, p in enumerate(pieces) if (p[0] == " ") == spaced]
+            own = [pieces[i] for i in which]
             if not own:
                 continue
-            text = glue.join([p[1:] for p in own]) + glue if bare else " " + " ".join(own)
-            ids = np.array(self._library([text])[0], np.uint32)
-            if bare:
-                glued = ids == self.newline
-                ends = np.cumsum(~glued)[glued]
-                ids = ids[~glued]
-            else:
+            ids = np.array(self._library(["".join(own) if spaced else "".join([p + "\n" for p in own])])[0], np.uint32)
+            if spaced:
                 ends = np.append(np.flatnonzero(self.opens[ids])[1:], len(ids))
+            else:
+                glue = ids == self.newline
+                ends, ids = np.cumsum(~glue)[glue], ids[~glue]
             if len(ends) != len(own):
-                alone = self._library([p[1:] if bare else " " + p for p in own])
+                alone = self._library(own)
                 ends, ids = np.cumsum([len(x) for x in alone]), np.array([i for x in alone for i in x], np.uint32)
-            self._add(own, np.diff(ends, prepend=0), ids)
-        pairs = np.array([(self.known[p[:-1]], self.marks[p[-1]]) for p in marked], np.int64).reshape(-1)
-        self._add(marked, self.size[pairs].reshape(-1, 2).sum(1), self.pool[ragged(self.at[pairs], self.size[pairs])])
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            new = self.numbers.add(hashes[which])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while self.numbers.count > len(self.at):
+                self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+            self.pool[self.used : self.used + len(ids)] = ids
+            sizes = np.diff(ends, prepend=0)
+            self.at[new], self.size[new] = self.used + ends - sizes, sizes
+            self.used += len(ids)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of them in each text."""
-        if len(self.known) > PIECES_KEPT:
+        if self.numbers.count > PIECES_KEPT:
             self.forget()
-        whole = [i for i, text in enumerate(texts) if any(s in text for s in self.not_cut) or text.endswith("\n\n")]
-        skip = set(whole)
-        cut = [[] if i in skip else ("\x01" + text.replace("\n", " \n \x01")).split(" ") for i, text in enumerate(texts)]
-        if missing := set().union(*cut).difference(self.known):
-            self.learn(missing)
-        sizes = np.array([len(x) for x in cut])
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sizes.sum())
-        n = self.size[which]
-        ids = self.pool[ragged(self.at[which], n)]
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
-        n = np.diff(ends)
-        if whole:
+        t = Flat(column)
+        data, n = t.data, len(t.data)
+        space, line = data == 32, data == 10
+        begins = t.off[:-1][t.off[:-1] < n]
+        bad = rare_space(data) if n else np.zeros(0, bool)
+        if n:
+            gap = space | line
+            bad[1:] |= gap[1:] & gap[:-1] & (space[1:] | space[:-1])  # runs of spaces and newlines, but for newlines alone
+            bad[2:] |= line[2:] & line[1:-1] & line[:-2]
+            last = t.off[1:][t.off[1:] > 1] - 1
+            bad[last] |= line[last] & line[last - 1]
+        whole = t.sums(bad) > 0
+        raw = data.tobytes() if any(s[:2] in data.tobytes() for s in self.special) else b""
+        if raw:
+            whole |= np.array([any(s in raw[a:b] for s in self.special) for a, b in zip(t.off, t.off[1:])], bool)
+
+        first = space | line
+        first[1:] |= line[:-1]
+        first[begins] = True
+        ends_word = _MARK[data]
+        ends_word[1:] &= _LETTER[data[:-1]]
+        ends_word[:-1] &= first[1:]
+        ends_word[begins] = False
+        first |= ends_word
+        starts = np.flatnonzero(first)
+        ends = np.append(starts[1:], n)
+        off = np.searchsorted(starts, t.off)
+        if whole.any():
+            keep = np.repeat(~whole, np.diff(off))
+            off = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(off)))])
+            starts, ends = starts[keep], ends[keep]
+        h = t.spans(starts, ends)
+        which = self.numbers.find(h)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            hashes, at = np.unique(h[new], return_index=True)
+            at = new[at]
+            raw = data.tobytes()
+            self._learn(hashes, [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            which[new] = self.numbers.find(h[new])
+        sizes = self.size[which]
+        ids = self.pool[ragged(self.at[which], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[off]
+        n_ids = np.diff(ends)
+        if whole.any():
             parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
-            for i, own in zip(whole, self._library([texts[i] for i in whole])):
+            these = np.flatnonzero(whole).tolist()
+            for i, own in zip(these, self._library([column[i].as_py() for i in these])):
                 parts[i] = np.array(own, np.uint32)
-            ids, n = np.concatenate(parts), np.array([len(x) for x in parts])
-        return ids, n
+            ids, n_ids = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, n_ids
 
 
 @lru_cache(1)
@@ -178,7 +204,7 @@ def _tokenized(path: str, end_id: int):
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for part in chunks(batch):
-                ids, sizes = encoder(path)(part.column("text").to_pylist())
+                ids, sizes = encoder(path)(part.column("text"))
                 ends = np.cumsum(sizes)
                 parts = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
                 blobs = [np.append(x, np.uint32(end_id)).astype("<u4") for x in parts]
