@@ -1,16 +1,24 @@
 """Near-duplicate classes by ProbMinHash, banding and exact verification.
 
-A document is its weighted set of ``SHINGLE``-word shingles, each weighing as often as it occurs.  Each shingle sends
+A document is its weighted set of ``SHINGLE``-word shingles; one that occurs n times weighs 1 + ln n.  Each shingle sends
 arrivals of a Poisson process at the rate of its weight, and each arrival falls on one of ``REGISTERS`` registers; a
 register keeps the shingle that reaches it first.  Two documents agree in a register with their probability Jaccard
 similarity.  Time goes on in slices, and a document stops as soon as all its registers are filled, which leaves most later
 arrivals of a long document unmade.
 
-Registers are cut into bands; equal bands make candidates.  A pair is linked if its exact similarity over all shingles,
-the probability Jaccard of the weighted sets or the Jaccard of the plain sets, is ``THRESHOLD`` or more.  Candidates are
-the pairs of texts that share a band, but a bucket's pairs are never all made: each member is first compared with the
-bucket's least member, then, in buckets that still lie in several components, with a leader that differs by bucket; at last
-only pairs that share a bucket and lie in different components are compared, which loses no link between components.
+Registers are cut into bands; texts that share a band are candidates.  Two texts are linked if the exact Jaccard similarity
+of their shingle sets is ``THRESHOLD`` (t) or more.  A bucket's pairs are never all made.  Each member x is first compared
+with the bucket's least member L, which leaves c(x) = |x & L| and the shingles of x that L lacks.  A pair x, y that is then in
+different components can only be linked if |x & y| >= t / (1 + t) (|x| + |y|), and |x & y| is at most the lesser of c(x) and
+c(y) and what x and y share beyond L.  So either
+
+* x and y share shingles that L lacks, at least t |x| - c(x) and at least one; a member that has fewer such shingles in
+  common with all others is done, and the rest meet on their rarest ones;
+* or |x| + |y| <= (1 + t) / t min(c(x), c(y)), which near copies of L in different components rarely meet: they are
+  joined by size, in narrow bands.
+
+Two that meet under several leaders are looked at under one: that which has the most members, where it is the same for both.
+Every pair so found is verified, so no link between components is lost, and near copies are not paired with one another.
 
 Texts with the same words are one node, whatever their number.  Texts of 1 to 4 words are a single shingle.  Null and empty
 texts are classes of their own.  Rows that repeat a doc_id are in one class.  A null doc_id has a null class.
@@ -64,6 +72,10 @@ def weighted(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    return 1 + np.log(count)
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int, m: int = REGISTERS) -> np.ndarray:
     """The shingle that reaches each register first: n_docs rows of m hashes, 0 for documents without shingles."""
     out = np.zeros((n_docs, m), U64)
@@ -115,26 +127,26 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """(probability Jaccard of the weighted sets, Jaccard of the sets); hashes are sorted and distinct."""
+def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """The exact similarity that registers estimate; hashes are sorted and distinct."""
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(i):
-        return 0.0, 0.0
+        return 0.0
     w, v = wa[i].astype(float), wb[j].astype(float)
     order = np.argsort(w / v)
     w, v = w[order], v[order]
-    ratio = w / v
-    low = np.searchsorted(ratio, ratio, "left")
+    low = np.searchsorted(w / v, w / v, "left")
     v_below = np.concatenate([[0], np.cumsum(v)])[low] + (wb.sum() - v.sum())
     w_above = w.sum() - np.concatenate([[0], np.cumsum(w)])[low] + (wa.sum() - w.sum())
-    return float((1 / (w_above / w + v_below / v)).sum()), len(i) / (len(a) + len(b) - len(i))
+    return float((1 / (w_above / w + v_below / v)).sum())
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch):
             t = Texts(part.column("text"))
-            rows = bands(signatures(*weighted(t), t.n_docs)).view(np.int64)
+            doc, h, count = weighted(t)
+            rows = bands(signatures(doc, h, weights(count), t.n_docs)).view(np.int64)
             c1, c2 = _content(t)
             off = np.concatenate([[0], np.cumsum(np.where(t.n_words > 0, BANDS, 0))]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(off), pa.array(rows[t.n_words > 0].reshape(-1)))
@@ -153,37 +165,48 @@ def _content(t: Texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(bitmap: str):
-    """The weighted sets of documents whose doc_id may be in a bitmap."""
+    """The shingle sets of documents whose doc_id may be in a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_bitmap.test(bitmap, batch.column("doc_id").to_numpy().view(U64))))
             for part in chunks(batch) if batch.num_rows else ():
                 t = Texts(part.column("text"))
-                doc, h, weight = weighted(t)
+                doc, h, _ = weighted(t)
                 off = pa.array(np.searchsorted(doc, np.arange(t.n_docs + 1)).astype(np.int32))
                 c1, c2 = _content(t)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c1), pa.array(c2), pa.ListArray.from_arrays(off, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(off, pa.array(weight.astype(np.int32)))], ["doc_id", "c1", "c2", "h", "w"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(c1), pa.array(c2), pa.ListArray.from_arrays(off, pa.array(h.view(np.int64)))], ["doc_id", "c1", "c2", "h"])
 
     return run
 
 
-def _linked(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ha, wa, hb, wb = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column(x) for x in ("ha", "wa", "hb", "wb")))
-            cut = lambda c, i: c[1][c[0][i] : c[0][i + 1]]
-            ok = [max(similarity(cut(ha, i).view(U64), cut(wa, i), cut(hb, i).view(U64), cut(wb, i))) >= threshold for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+COMPARED = "a long, b long, na int, nb int, common int, more array<long>"
 
-    return run
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes, common shingles, and the shingles of b that a lacks."""
+    for batch in batches:
+        (oa, va), (ob, vb) = ((c.offsets.to_numpy(), c.values.to_numpy().view(U64)) for c in (batch.column(x) for x in ("ha", "hb")))
+        common, more = [], []
+        for i in range(batch.num_rows):
+            a, b = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
+            at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+            shared = a[at] == b
+            common.append(int(shared.sum()))
+            more.append(b[~shared].view(np.int64))
+        sizes = [pa.array(np.diff(o[: batch.num_rows + 1]).astype(np.int32)) for o in (oa, ob)]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in more])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, pa.array(common, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([*more, np.zeros(0, np.int64)])))], ["a", "b", "na", "nb", "common", "more"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a < b) whose sets are alike.  Each side is joined by itself, so a hub's pairs can be split."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("h").alias(f"h{x}"), F.col("w").alias(f"w{x}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "wa", "hb", "wb")
-    return written(rows.mapInArrow(_linked(threshold), "a long, b long"), "links")
+    """``pairs`` (a, b) with what ``_compared`` finds and whether they are linked.
+
+    Each side is joined by itself, so a hub's pairs can be split.
+    """
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("h").alias(f"h{x}"))
+    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ha", "hb").mapInArrow(_compared, COMPARED)
+    return written(rows.withColumn("linked", F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9), "compared", "zstd")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -200,35 +223,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = written(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "nodes")
     member = full.join(nodes, ["c1", "c2"])
     keys = written(member.filter("doc_id = node").select("node", F.explode("bands").alias("key")).distinct(), "keys", "zstd")
-    buckets = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("other")).filter("n > 1").select("key", "least", F.col("other").bitwiseXOR(F.col("key")).alias("other")), "buckets")
-    crowd = written(keys.join(buckets, "key"), "crowd", "zstd")
+    buckets = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1").select("key", "least"), "buckets")
+    tried = written(_pairs(keys.join(buckets, "key").select(F.col("least").alias("x"), F.col("node").alias("y"))), "pairs")
     drop_tables(keys)
 
-    involved = written(crowd.select("node").distinct(), "involved")
+    involved = written(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
     if involved.isEmpty():
         links = docs.sparkSession.createDataFrame([], "a long, b long")
     else:
-        found = docs.filter("doc_id is not null").mapInArrow(_sets(_bitmap.build(involved, "node")), "doc_id long, c1 long, c2 long, h array<long>, w array<int>")
+        found = docs.filter("doc_id is not null").mapInArrow(_sets(_bitmap.build(involved, "node")), "doc_id long, c1 long, c2 long, h array<long>")
         own = nodes.join(involved, "node", "left_semi")
-        found = found.join(own, (found["doc_id"] == own["node"]) & (found["c1"] == own["c1"]) & (found["c2"] == own["c2"])).select("node", "h", "w")
+        found = found.join(own, (found["doc_id"] == own["node"]) & (found["c1"] == own["c1"]) & (found["c2"] == own["c2"])).select("node", "h")
         sets = written(found.dropDuplicates(["node"]), "sets")
         free_shuffles(docs.sparkSession)
-
-        tried = written(_pairs(crowd.select(F.col("least").alias("x"), F.col("node").alias("y"))), "pairs")
-        links = _verified(tried, sets, threshold)
-        for last in (False, True):
-            apart = _apart(crowd, links)
-            if apart.isEmpty():
-                break
-            if last:  # every pair that is still in different components
-                left, right = (apart.select("key", F.col("node").alias(x), F.col("class").alias(f"c{x}")) for x in "xy")
-                more = left.join(right, "key").filter("cx < cy")
-            else:
-                more = apart.select(F.col("other").alias("x"), F.col("node").alias("y"))
-            more = written(_pairs(more).join(tried, ["a", "b"], "left_anti"), "pairs")
-            links, tried = links.unionByName(_verified(more, sets, threshold)), tried.unionByName(more)
-            free_shuffles(docs.sparkSession)
+        stars = _verified(tried, sets, threshold)
+        links = stars.filter("linked").select("a", "b")
+        more = written(_left_over(stars, components(links), threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_verified(more, sets, threshold).filter("linked").select("a", "b"))
         drop_tables(sets)
+        free_shuffles(docs.sparkSession)
     of = components(links)
     copies = full.select("doc_id", "c1", "c2").join(nodes, ["c1", "c2"]).select("doc_id", "node")
     # equal doc_ids are one document: their texts' classes meet
@@ -237,12 +250,36 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _apart(crowd: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node, other, class) of buckets whose members lie in several components."""
-    of = components(links)
-    placed = written(crowd.join(of, "node", "left").select("key", "node", "other", F.coalesce("class", "node").alias("class")), "placed", "zstd")
-    split = written(placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("key"), "split")
-    return written(placed.join(split, "key"), "apart", "zstd")
+def _left_over(stars: DataFrame, of: DataFrame, t: float) -> DataFrame:
+    """Pairs (a, b) of members of one leader in different components that may be linked; see the top of the module."""
+    leaders, members = (of.select(F.col("node").alias(x), F.col("class").alias(f"c{x}")) for x in "ab")
+    own = stars.join(members, "b", "left").join(leaders, "a", "left").select(F.col("a").alias("lead"), F.col("b").alias("x"), F.coalesce("cb", "b").alias("cx"), F.coalesce("ca", "a").alias("cl"), F.col("nb").alias("n"), "common", "more")
+    own = own.withColumn("least", F.greatest(F.lit(1), F.ceil(t * F.col("n") - 1e-9) - F.col("common")))
+    own = own.withColumn("most", F.floor(F.col("common") * (1 + t) / t + 1e-9) - F.col("n"))  # a partner's size, if nothing beyond the leader is shared
+    crowd = own.groupBy("lead").agg(F.count(F.lit(1)).alias("crowd"))
+    main = own.select("lead", "x").join(crowd, "lead").groupBy("x").agg(F.max(F.struct("crowd", "lead")).alias("m")).select("x", F.col("m.lead").alias("main"))
+    own = written(own.join(main, "x"), "members", "zstd")
+    out = own.filter("cx <> cl")
+    groups = written(out.select("lead").distinct(), "leads")
+    own = own.join(groups, "lead", "left_semi")
+
+    each = written(own.select("lead", "x", "cx", "main", F.explode("more").alias("h")), "lacking", "zstd")
+    often = written(each.groupBy("lead", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    some = out.select("lead", "x", "cx", "main", "least", F.explode("more").alias("h")).join(often, ["lead", "h"])
+    some = some.groupBy("lead", "x", "cx", "main", "least").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("met")).filter(F.size("met") >= F.col("least"))
+    some = some.select("lead", "x", "cx", "main", F.explode(F.slice("met", 1, F.size("met") - F.col("least").cast("int") + 1)).alias("m")).select("lead", "x", "cx", "main", F.col("m.h").alias("h"))
+    some = written(some, "meeting", "zstd")
+    here = lambda a, b: (F.col("lead") == F.col(a)) | (F.col(a) != F.col(b))
+    other = each.select(F.col("lead").alias("lead_y"), F.col("h").alias("hy"), F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("main").alias("main_y"))
+    met = some.join(other, (F.col("lead") == F.col("lead_y")) & (F.col("h") == F.col("hy")) & (F.col("cx") != F.col("cy")) & here("main", "main_y")).select("x", "y")
+
+    band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(1.03)))
+    small = own.filter(F.col("most") >= F.ceil(t * F.col("n") - 1e-9))
+    there = small.select(F.col("lead").alias("lead_y"), F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("n").alias("ny"), F.col("most").alias("my"), F.col("main").alias("main_y"), band(F.col("n")).alias("band_y"))
+    asked = small.filter("cx <> cl").select("lead", "x", "cx", "main", F.col("n").alias("nx"), F.col("most").alias("mx"), F.explode(F.sequence(band(F.ceil(t * F.col("n") - 1e-9)), band(F.col("most")))).alias("band"))
+    fits = (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my"))
+    alike = asked.join(there, (F.col("lead") == F.col("lead_y")) & (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & fits & here("main", "main_y")).select("x", "y")
+    return _pairs(met.unionByName(alike))
 
 
 def op1_probminhash(spark, sf_dir: str) -> DataFrame:
