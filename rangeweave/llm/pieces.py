@@ -21,17 +21,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from ._text import chunks, ragged
+from ._text import U64, Flat, Numbers, chunks, mix, ragged
 
 ROW = 24  # characters of the words that are merged as rows
 GROUPS = (5, 8, 12, ROW)  # words of like length share a matrix
-WORDS_KEPT = 1_200_000
-BARE = "\x01"  # stands before a word that no space precedes
+WORDS_KEPT = 1_500_000
 MARKS = ",.;:!?"
+_MARK, _LETTER = (np.isin(np.arange(256), list(x)) for x in (MARKS.encode(), bytes(range(65, 91)) + bytes(range(97, 123))))
 NEVER = np.int64(1 << 40)
 _CHUNKS = re.compile("▁*[^▁]+|▁+$")
 
@@ -54,21 +55,16 @@ class Agenda:
         self.rank = np.array([NEVER if special[i] else order[sp.get_score(i)] for i in range(n)], np.int64)
         pairs = sorted((self.ids[p[:k]] * n + self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
         self.n, self.keys, self.merged = n, np.array([k for k, _ in pairs] + [1 << 62]), np.array([i for _, i in pairs] + [0])
+        self.decimal = list(map(str, range(n)))
         #: no piece holds a mark after a letter, or a newline beside anything: texts can be cut there
         self.marks_apart = not any(b in MARKS and a.isalpha() for p in self.ids for a, b in zip(p, p[1:]))
         self.lines_apart = not any("\n" in p for p in self.ids if len(p) > 1)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.text: list[str] = []
-        self.pool, self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used, self.wrong = 0, np.zeros(1 << 14, bool)
-        fixed = [w for w in (MARKS if self.marks_apart else "") + "\n" * self.lines_apart]
-        ids = [self.merge_long(w) for w in fixed]
-        self.nothing = 0
-        self._add([BARE, *("\n" if w == "\n" else BARE * 2 + w for w in fixed)], np.array([0, *map(len, ids)]), np.array(list(chain.from_iterable(ids)), np.int64), ["", *(",".join(map(str, x)) for x in ids)])
-        self.marks = {w: 1 + k for k, w in enumerate(fixed) if w != "\n"}
+        self.numbers = Numbers()
+        self.pool, self.at, self.size, self.wrong = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, bool)
+        self.used = 0
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair makes, and its place in the agenda (NEVER: none)."""
@@ -151,76 +147,118 @@ class Agenda:
             return np.array(list(chain.from_iterable(parts)), np.int64), np.diff(ends)
         return flat, left
 
-    def _add(self, words: list[str], sizes: np.ndarray, flat: np.ndarray, text: list[str], asked: list[tuple[str, int]] | None = None) -> None:
-        """``asked``: what to give the library for each word; its ids must end with the word's."""
-        n, k = len(self.known), len(sizes)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + k > len(self.at):
-            self.at, self.size, self.wrong = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.wrong))
-        self.pool[self.used : self.used + len(flat)] = flat
-        ends = np.cumsum(sizes)
-        self.at[n : n + k], self.size[n : n + k] = self.used + ends - sizes, sizes
-        if asked:
-            flat, ends = flat.tolist(), ends.tolist()
-            theirs = self.library.encode([x for x, _ in asked], num_threads=1)
-            for i, (own, (_, skip), a, b) in enumerate(zip(theirs, asked, [0, *ends], ends)):
-                self.wrong[n + i] = own[skip:] != flat[a:b]
-        self.used += len(flat)
-        self.text += text
-        self.known.update(zip(words, range(n, n + k), strict=True))
-
-    def learn(self, words: set[str]) -> None:
-        """``words`` as they stand after a space, after BARE, or whole chunks that begin with ``▁``."""
-        marked = [w for w in words if w[-1:] in self.marks and w[-2:-1].isalpha()]
-        rest = sorted(words.difference(marked).union([w[:-1] for w in marked]).difference(self.known))
-        spelt = [w[1:] if w[:1] == BARE else w if w[:1] == "▁" else "▁" + w for w in rest]
-        length = np.array([len(w) for w in spelt], np.int64)
-        low = 0
-        for high in GROUPS:
-            own = np.flatnonzero((length > low) & (length <= high)).tolist()
+    def learn(self, hashes: np.ndarray, spelt: list[str], asked: list[tuple[str, int]]) -> None:
+        """Merge ``spelt`` and number them.  ``asked``: a text whose ids the library must end alike, and how many come before."""
+        length, low = np.array([len(w) for w in spelt], np.int64), 0
+        for high in (*GROUPS, None):
+            own = np.flatnonzero((length > low) & (length <= (high or length.max(initial=0)))).tolist()
             low = high
-            if own:
+            if not own:
+                continue
+            if high:
                 flat, sizes = self.merge_rows([spelt[i] for i in own])
-                every, ends = list(map(str, flat.tolist())), np.cumsum(sizes).tolist()
-                self._add([rest[i] for i in own], sizes, flat, [",".join(every[a:b]) for a, b in zip([0, *ends], ends)], [self._asked(rest[i]) for i in own])
-        for i in np.flatnonzero(length > low).tolist():
-            ids = self.merge_long(spelt[i])
-            self._add([rest[i]], np.array([len(ids)]), np.array(ids), [",".join(map(str, ids))], [self._asked(rest[i])])
-        pairs = [(self.known[w[:-1]], self.marks[w[-1]]) for w in marked]
-        both = np.array(pairs, np.int64).reshape(-1)
-        self._add(marked, self.size[both].reshape(-1, 2).sum(1), self.pool[ragged(self.at[both], self.size[both])], [f"{self.text[i]},{self.text[j]}" for i, j in pairs], [self._asked(w) for w in marked])
-
-    def _asked(self, word: str) -> tuple[str, int]:
-        """The text whose ids the library must end alike, and how many come before: it puts ``▁`` first, and after a newline nothing."""
-        if word[:1] == BARE:
-            return "\n" + word[1:], 2
-        return (word.removeprefix("▁"), 0) if word not in ("", "▁") else ("\n▁", 2)
-
-    def _cut(self, text: str) -> list[str]:
-        """A fast cut at single spaces and newlines, or else at every run of ``▁``."""
-        spread = text.replace("\n", " \n " + BARE) if self.lines_apart else text
-        if text and spread[0] != " " and "  " not in spread and "▁" not in text and BARE not in text:
-            return spread.split(" ")
-        return _CHUNKS.findall("▁" + text.replace(" ", "▁")) if text else []
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[bool]]:
+            else:
+                heaps = [self.merge_long(spelt[i]) for i in own]
+                flat, sizes = np.array(list(chain.from_iterable(heaps)), np.int64), np.array([len(x) for x in heaps], np.int64)
+            new, ends = self.numbers.add(hashes[own]), np.cumsum(sizes)
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while self.numbers.count > len(self.at):
+                self.at, self.size, self.wrong = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.wrong))
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.at[new], self.size[new] = self.used + ends - sizes, sizes
+            self.used += len(flat)
+            flat, ends = flat.tolist(), ends.tolist()
+            theirs = self.library.encode([asked[i][0] for i in own], num_threads=1)
+            self.wrong[new] = [x[asked[i][1] :] != flat[a:b] for i, x, a, b in zip(own, theirs, [0, *ends], ends)]
+
+    def _cut(self, t: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, bare, offsets of texts) of words, each with the space before it; ``bare`` ones follow something else.
+
+        A text's first word counts as after a space.  Texts with runs of spaces or ``▁`` are left out; see ``encode``.
+        """
+        data, n = t.data, len(t.data)
+        space, begins = data == 32, t.off[:-1][t.off[:-1] < n]
+        first, bare = space.copy(), np.zeros(n, bool)
+        if self.lines_apart:
+            line = data == 10
+            bare |= line
+            bare[1:] |= line[:-1]
+        if self.marks_apart:
+            mark = _MARK[data]
+            mark[1:] &= _LETTER[data[:-1]]
+            after = np.ones(n, bool)
+            after[:-1] = (space | bare)[1:]
+            after[t.off[1:][t.off[1:] > 0] - 1] = True
+            bare |= mark & after
+        bare &= ~space
+        bare[begins] = False
+        first |= bare
+        first[begins] = True
+        starts = np.flatnonzero(first)
+        return starts, np.append(starts[1:], n), bare[starts], np.searchsorted(starts, t.off)
+
+    def encode(self, column: pa.Array) -> tuple[list[list[int]], list[str], list[bool]]:
         """The ids of each text, the same as decimals joined by commas, and whether the library agrees on all its words."""
-        if len(self.known) > WORDS_KEPT:
+        if self.numbers.count > WORDS_KEPT:
             self.forget()
-        cut = [self._cut(t) for t in texts]
-        if missing := set().union(*cut).difference(self.known):
-            self.learn(missing)
-        counts = np.array([len(x) for x in cut])
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, counts.sum())
-        sizes = self.size[which]
+        t = Flat(column)
+        data, n, raw = t.data, len(t.data), t.data.tobytes()
+        run = np.zeros(n, bool)
+        if n:
+            space = data == 32
+            run[1:] = space[1:] & space[:-1]
+            run[t.off[:-1][t.off[:-1] < n]] = space[t.off[:-1][t.off[:-1] < n]]
+            edge = t.off[1:][t.off[1:] > 0] - 1
+            run[edge] |= space[edge]
+        odd = t.sums(run) > 0
+        if (at := np.flatnonzero(data == 0xE2)).size:
+            at = at[(data[at + 1] == 0x96) & (data[at + 2] == 0x81)]
+            odd[np.searchsorted(t.off, at, "right") - 1] = True
+        starts, ends, bare, off = self._cut(t)
+        h = t.spans(starts, ends)
+        # a first word and the same one after a space are spelt alike
+        lead = (data[starts] != 32) & ~bare
+        h = np.where(bare, mix(h, 71), h)
+        h[lead] = mix(h[lead], 72)
+        if odd.any():
+            keep = np.repeat(~odd, np.diff(off))
+            off = np.concatenate([[0], np.cumsum(np.where(odd, 0, np.diff(off)))])
+            starts, ends, bare, lead, h = (x[keep] for x in (starts, ends, bare, lead, h))
+        which = self.numbers.find(h)
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            hashes, at = np.unique(h[new], return_index=True)
+            at = new[at]
+            text = [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            kinds = list(zip(text, bare[at].tolist()))
+            spelt = [w if b else "▁" + w.removeprefix(" ") for w, b in kinds]
+            self.learn(hashes, spelt, [("\n" + w, 2) if b else _asked(w.removeprefix(" ")) for w, b in kinds])
+            which[new] = self.numbers.find(h[new])
+        sizes = self.size[which].astype(np.int64)
         flat = self.pool[ragged(self.at[which], sizes)].tolist()
-        words = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.concatenate([[0], np.cumsum(sizes)])[words].tolist()
-        wrong = np.concatenate([[0], np.cumsum(self.wrong[which])])[words]
-        text, which, words = self.text, which.tolist(), words.tolist()
-        joined = [",".join([text[i] for i in which[a:b] if i != self.nothing]) for a, b in zip(words, words[1:])]
-        return [flat[a:b] for a, b in zip(ends, ends[1:])], joined, (np.diff(wrong) == 0).tolist()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[off].tolist()
+        same = np.diff(np.concatenate([[0], np.cumsum(self.wrong[which])])[off]) == 0
+        ids = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        for i in np.flatnonzero(odd).tolist():
+            ids[i], same[i] = self._encode_odd(column[i].as_py())
+        return ids, [",".join([self.decimal[x] for x in own]) for own in ids], same.tolist()
+
+    def _encode_odd(self, text: str) -> tuple[list[int], bool]:
+        """A text with runs of spaces or ``▁``: each run goes with the word after it."""
+        chunks_ = _CHUNKS.findall("▁" + text.replace(" ", "▁"))
+        h = mix(np.fromiter((xxhash.xxh3_64_intdigest(c) for c in chunks_), U64, len(chunks_)), 73)
+        new, at = np.unique(h[self.numbers.find(h) < 0], return_index=True)
+        if len(new):
+            missing = [chunks_[i] for i in np.flatnonzero(self.numbers.find(h) < 0)[at].tolist()]
+            self.learn(new, missing, [_asked(c[1:]) for c in missing])
+        which = self.numbers.find(h)
+        return self.pool[ragged(self.at[which], self.size[which].astype(np.int64))].tolist(), not self.wrong[which].any()
+
+
+def _asked(word: str) -> tuple[str, int]:
+    """What to give the library for a word after ``▁``, which it puts first itself; it gives nothing for an empty text."""
+    return (word, 0) if word else ("\n▁", 2)
 
 
 @lru_cache(1)
@@ -246,10 +284,9 @@ def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False, whole_check:
             batch = batch.rename_columns([f"c{i}" for i in range(len(columns))]).append_column("whole", batch.column(at).cast(pa.string()))
             for part in chunks(batch, "whole"):
                 model = agenda(path)
-                texts = part.column("whole").to_pylist()
-                ids, joined, same = model.encode(texts)
+                ids, joined, same = model.encode(part.column("whole"))
                 if whole_check:
-                    same = [a == b for a, b in zip(ids, model.library.encode(texts, num_threads=1))]
+                    same = [a == b for a, b in zip(ids, model.library.encode(part.column("whole").to_pylist(), num_threads=1))]
                 decoded = [model.library.decode(x) if x else "" for x in ids]
                 sha = [[hashlib.sha256(x.encode()).hexdigest() for x in v] for v in (joined, decoded)]
                 more = [[len(x) for x in ids], *sha, same] + [ids] * keep_ids
