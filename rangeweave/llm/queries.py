@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .context_mixing import op5_context_mixing
 from .mixing import op6_mixing
+from .oracles import ORACLES
 from .pieces import op2_sentencepiece
 from .probminhash import op1_probminhash
 from .quality_classifier import op10_quality_classifier
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
