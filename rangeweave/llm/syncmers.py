@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._ranges import range_of
+
 K, S = 12, 6
 SKETCH = 64
 BLOCK = 8192  # k-mers that are looked at together
 ROWS_A_BUCKET = 500
-MOST_BUCKETS = 1 << 18
-QUANTILES = 200
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -85,20 +85,11 @@ def positional_matches(left: DataFrame, right: DataFrame, least: int = 3) -> Dat
 def in_sequence(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with a bucket of descending ranges of doc_id, and each bucket's neighbour rows as guests.
 
-    Buckets are cut at quantiles, then evenly; a guest stands at an edge of the bucket next to its own.
+    A guest stands at an edge of the bucket next to its own.
     """
-    ids = docs.select("doc_id")
-    cuts = [i / QUANTILES for i in range(QUANTILES + 1)]
-    n, bounds = ids.agg(F.count(F.lit(1)), F.percentile_approx("doc_id", cuts, 100 * QUANTILES)).first()
-    bounds = sorted(set(bounds or [0]))
-    split = max(1, min(MOST_BUCKETS, n // ROWS_A_BUCKET) // max(len(bounds), 1))
-    at = F.aggregate(F.array(*map(F.lit, bounds)), F.lit(-1), lambda k, b: k + (b <= F.col("doc_id")).cast("int"))
-    edges = F.array(*map(F.lit, [*bounds, bounds[-1] + 1]))
-    low, high = (F.get(edges, F.col("range") + i).cast("double") for i in (0, 1))
-    inner = F.least(F.lit(split - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - low) / (high - low) * split).cast("int")))
-    rows = docs.withColumn("range", at).withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1 << 40)).when(F.col("range") < 0, -1).otherwise(F.col("range").cast("long") * split + inner)).drop("range")
-
-    # each bucket's first and last row; at most MOST_BUCKETS rows and what the quantiles add, so small enough to broadcast
+    rows = docs.withColumn("bucket", range_of(docs.select("doc_id"), "doc_id", ROWS_A_BUCKET))
+
+    # each bucket's first and last row; as many rows as ranges, whose number is bounded, so small enough to broadcast
     ends = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("real"), "doc_id", "tie")).alias("top"), F.min(F.struct(F.col("doc_id").isNotNull().alias("real"), "doc_id", "tie")).alias("low"))
     down = Window.orderBy(F.desc("bucket"))
     ends = ends.select("bucket", "top", "low", F.lag("bucket").over(down).alias("above"), F.lead("bucket").over(down).alias("below"), F.max("bucket").over(Window.partitionBy()).alias("highest"), F.min("bucket").over(Window.partitionBy()).alias("lowest"))

@@ -20,9 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._ranges import range_of
 from ._store import WholeFile, drop_tables, fresh, open_file, written
 from ._text import Flat, Numbers, chunks, ragged
 
@@ -242,7 +243,7 @@ def _shards(folder: str, before: dict[int, int], id_of: list[int]):
             footer = json.dumps({"ids": id_of, "docs": docs}).encode()
             out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
             out.close()
-            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [f"{folder}/shard-{shard:06d}.ids"], "docs": pa.array([len(docs)], pa.int64()), "bytes": pa.array([out.size], pa.int64())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [f"{folder}/shard-{shard}.ids"], "docs": pa.array([len(docs)], pa.int64()), "bytes": pa.array([out.size], pa.int64())})
 
         for batch in batches:
             for s, doc_id, n, control, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "n", "control", "data"))):
@@ -250,7 +251,7 @@ def _shards(folder: str, before: dict[int, int], id_of: list[int]):
                     if out:
                         yield close()
                     shard, docs, start = s, [], before[s]
-                    out = WholeFile(f"{folder}/shard-{s:06d}.ids")
+                    out = WholeFile(f"{folder}/shard-{s}.ids")
                     out.write(MAGIC)
                 docs.append([doc_id, start, n, len(control), len(data), out.write(control + data)])
                 start += n
@@ -285,16 +286,11 @@ def _out(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
 
-def shard_of(doc_id: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below ``doc_id``."""
-    return F.aggregate(F.array(*map(F.lit, bounds)), F.lit(0).cast("long"), lambda n, b: n + (b <= doc_id).cast("long")) if bounds else F.lit(0).cast("long")
-
-
 def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, docs_a_shard: int = 2000) -> DataFrame:
     """Tokenize ``docs`` and write shards under ``folder``; returns the manifest (shard, path, docs, bytes).
 
     Texts are read and tokenized once where they lie.  Only coded ids are shuffled, into ranges of doc_id cut at
-    quantiles; the driver sees a count for each id of the vocabulary and a sum for each shard.
+    quantiles and then evenly; the driver sees a count for each id of the vocabulary and a sum for each shard.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
@@ -306,12 +302,9 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, doc
     rank_of[id_of] = np.arange(len(id_of))
 
     rows = raw.filter("ids is not null")
-    shards = -(-rows.count() // docs_a_shard)
-    cuts = [i / shards for i in range(1, shards)]
-    bounds = sorted(set(rows.select(F.percentile_approx("doc_id", cuts, 10 * shards)).first()[0] or [])) if cuts else []
-    rows = rows.withColumn("shard", shard_of(F.coalesce("doc_id", F.lit(-(2**63))), bounds))
+    rows = rows.withColumn("shard", range_of(rows.select("doc_id"), "doc_id", docs_a_shard))
     before, total = {}, 0
-    for shard, n in sorted(map(tuple, rows.groupBy("shard").agg(F.sum("n")).collect())):  # a row for each shard
+    for shard, n in sorted(map(tuple, rows.groupBy("shard").agg(F.sum("n")).collect())):  # a row a shard, whose number is bounded
         before[shard], total = total, total + n
     n_parts = max(1, min(len(before), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     coded = rows.select("shard", "doc_id", "tie", "n", "ids").mapInArrow(_ranked(rank_of), "shard long, doc_id long, tie long, n long, control binary, data binary")
