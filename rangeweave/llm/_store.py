@@ -31,9 +31,14 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """The rows of ``df`` from a table in the shared folder: later reads need none of its lineage."""
+    """The rows of ``df`` from a table in the shared folder: later reads need none of its lineage.
+
+    The table goes with the session, if ``drop_tables`` has not taken it before.
+    """
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
