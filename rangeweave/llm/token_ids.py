@@ -14,7 +14,6 @@ empty table gives no shards and no rows.
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
