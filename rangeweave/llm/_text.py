@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LONG_WORD = 64

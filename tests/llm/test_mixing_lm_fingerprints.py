@@ -90,12 +90,13 @@ def test_passes_over_split_tables_give_the_same_sums(spark):
         assert math.isclose(many[i].base_score, r.base_score, rel_tol=1e-9) and math.isclose(many[i].score, r.score, rel_tol=1e-9)
 
 
-def test_spelling_probabilities_sum_to_one():
-    """Over all byte strings the mixed bits are a code: each decision's two probabilities sum to one."""
+def test_the_two_values_of_a_bit_have_all_probability():
+    r = np.random.default_rng(0)
     mixer = cm.Mixer()
-    x = np.random.default_rng(0).normal(size=(50, len(cm.CONTEXTS))).astype(np.float32)
-    p = mixer.predict(3, np.full(50, 9), x, np.zeros(50))[0]
-    assert ((p > 0) & (p < 1)).all()
+    mixer.by_part, mixer.by_gate = (r.uniform(0.01, 0.99, t.shape).astype(np.float32) for t in (mixer.by_part, mixer.by_gate))
+    x, part, evidence = r.normal(size=(50, len(cm.CONTEXTS))).astype(np.float32), r.integers(1, 256, 50), r.integers(0, 20, 50)
+    one, zero = (mixer.predict(3, part, s * x, np.full(50, s, np.float32), evidence)[0] for s in (1, -1))
+    assert np.allclose(one + zero, 1, atol=1e-5)
 
 
 def test_learning_beats_the_base_on_held_out_texts(spark):
