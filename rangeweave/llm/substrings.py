@@ -34,6 +34,7 @@ from ._text import U64, Texts, chunks, mix, windows
 
 WINDOW = 13
 INNER = 7
+EARLIER = -(2**63)  # stands for the documents of earlier batches
 FAN = 2
 BATCHES = 2
 
@@ -107,7 +108,8 @@ class FingerprintIndex:
     def _write_run(self, rows: DataFrame) -> tuple[str, str]:
         name, folder = f"fingerprints_{uuid.uuid4().hex}", fresh(self.spark, "run")
         rows = rows.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(name)
+        # the sum leaves each bucket in one task, so a bucket is one sorted file
+        rows.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(name)
         return name, folder
 
     def _shared(self, run: str) -> DataFrame:
@@ -116,17 +118,20 @@ class FingerprintIndex:
         found = new.filter("lo <> hi").select("anchor")
         for old, _ in self.runs:
             found = found.unionByName(new.select("anchor").join(self.spark.table(old).select("anchor").hint("merge"), "anchor", "left_semi"))
-        return found.distinct()
+        return found
 
     def add(self, docs: DataFrame) -> DataFrame:
         """(doc_id, tie, places): first words of the windows that go, for each document that has any."""
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").withColumn("tie", F.xxhash64("text"))
         run = self._write_run(docs.select("doc_id", "text").mapInArrow(_listed, "anchor long, doc_id long").select("anchor", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi")))
+        free_shuffles(self.spark)
         shared = written(self._shared(run[0]), "shared")
         if shared.isEmpty():
             places = None
         else:
-            places = self._verified(docs, _bitmap.build(shared, "anchor"))
+            bitmap = _bitmap.build(shared, "anchor")
+            free_shuffles(self.spark)
+            places = self._verified(docs, bitmap)
         drop_tables(shared)
         self.runs.append(run)
         self.batches.append(docs)
@@ -141,12 +146,12 @@ class FingerprintIndex:
         for old in self.batches:
             rows = rows.unionByName(old.mapInArrow(_suspects(bitmap), kind).withColumn("fresh", F.lit(False)))
         rows = written(rows, "suspects", "zstd")
-        own = F.when(F.col("fresh"), F.col("doc_id"))
-        same = rows.groupBy("h1", "h2").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.max((~F.col("fresh")).cast("int")).alias("old"))
-        # one row a window; written, so that Spark can split the join where a window is hot
-        same = written(same.filter("lo is not null and (old = 1 or lo < hi)").select("h1", "h2", F.when(F.col("old") == 0, F.col("lo")).alias("lo")), "same")
+        own = F.when(F.col("fresh"), F.col("doc_id")).otherwise(F.lit(EARLIER))
+        same = rows.groupBy("h1", "h2").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+        # one row a window, evenly dealt and so hashed; written, so that Spark can split the join where a window is hot
+        same = written(same.filter("lo < hi").select("h1", "h2", "lo"), "same")
         free_shuffles(self.spark)
-        gone = rows.filter("fresh").drop("fresh").join(same, ["h1", "h2"]).filter("lo is null or doc_id > lo")
+        gone = rows.filter("fresh").drop("fresh").join(same.hint("shuffle_hash"), ["h1", "h2"]).filter("doc_id > lo")
         places = written(gone.groupBy("doc_id", "tie").agg(F.collect_list("place").alias("places")), "places", "zstd")
         drop_tables(rows, same)
         free_shuffles(self.spark)
@@ -155,10 +160,8 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one; an anchor keeps its least and greatest doc_id."""
         if len(self.runs) > 1:
-            rows = self.spark.table(self.runs[0][0])
-            for name, _ in self.runs[1:]:
-                rows = rows.unionByName(self.spark.table(name))
-            merged = self._write_run(rows)
+            # read as plain files: a union of bucketed tables may be taken for bucketed itself when it is not
+            merged = self._write_run(self.spark.read.parquet(*[folder for _, folder in self.runs]))
             self._drop(self.runs)
             self.runs = [merged]
 
