@@ -302,4 +302,4 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string").alias("text"))
-    return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+    return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), whole_check=True).drop("text")
