@@ -256,9 +256,10 @@ def _left_over(stars: DataFrame, of: DataFrame, t: float) -> DataFrame:
     own = stars.join(members, "b", "left").join(leaders, "a", "left").select(F.col("a").alias("lead"), F.col("b").alias("x"), F.coalesce("cb", "b").alias("cx"), F.coalesce("ca", "a").alias("cl"), F.col("nb").alias("n"), "common", "more")
     own = own.withColumn("least", F.greatest(F.lit(1), F.ceil(t * F.col("n") - 1e-9) - F.col("common")))
     own = own.withColumn("most", F.floor(F.col("common") * (1 + t) / t + 1e-9) - F.col("n"))  # a partner's size, if nothing beyond the leader is shared
-    crowd = own.groupBy("lead").agg(F.count(F.lit(1)).alias("crowd"))
+    own = written(own, "members", "zstd")
+    crowd = written(own.groupBy("lead").agg(F.count(F.lit(1)).alias("crowd")), "crowd")  # written, so that a hot leader's join can be split
     main = own.select("lead", "x").join(crowd, "lead").groupBy("x").agg(F.max(F.struct("crowd", "lead")).alias("m")).select("x", F.col("m.lead").alias("main"))
-    own = written(own.join(main, "x"), "members", "zstd")
+    own = written(own.join(written(main, "main"), "x"), "members", "zstd")
     out = own.filter("cx <> cl")
     groups = written(out.select("lead").distinct(), "leads")
     own = own.join(groups, "lead", "left_semi")
