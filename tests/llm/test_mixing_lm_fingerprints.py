@@ -62,6 +62,35 @@ def test_mixing_query(spark, tmp_path):
     assert mixing.weighed(docs.limit(0)).count() == 0
 
 
+def hot(spark):
+    """A source with half of the tokens, eight rarer ones, and cells of few texts or of none with words."""
+    rows = [(i, "same long line of words " * 4 + str(i), ["en", "fr"][i % 3 == 0], "hot" if i < 400 else f"s{i % 8}") for i in range(800)]
+    rows += [(900, "rare text | | | |", "xx", "rare"), (901, "", "yy", "empty"), (902, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+@pytest.mark.parametrize("cells", [mixing.CELLS, 1])
+def test_only_a_hot_source_is_thinned(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    got = mixing.weighed(hot(spark)).collect()
+    assert len(got) == 803
+    assert all(r.mix_kept and r.mix_probability == 1 for r in got if r.source != "hot")
+    mass = collections.Counter()
+    for r in got:
+        mass[r.source == "hot"] += r.mix_probability * r.mix_tokens
+    assert abs(mass[True] / sum(mass.values()) - mixing.MOST) < 1e-6
+    assert 80 < sum(r.mix_kept for r in got if r.source == "hot") < 190
+
+
+def test_shares_stay_under_the_bound():
+    for mass in ({"a": 90.0, "b": 5.0, "c": 5.0, **{f"x{i}": 2.0 for i in range(9)}}, {"a": 400.0, "b": 300.0, "c": 200.0, **{i: 1.0 for i in range(40)}}):
+        got = mixing.tempered(mass)
+        assert abs(sum(got.values()) - 1) < 1e-9 and max(got.values()) <= mixing.MOST + 1e-9
+        assert len({round(got[k] / v, 12) for k, v in mass.items() if got[k] < mixing.MOST - 1e-9}) == 1
+    even = {i: 1.0 for i in range(20)}
+    assert all(abs(v - 0.05) < 1e-12 for v in mixing.tempered(even).values()) and mixing.tempered({"a": 3.0}) == {"a": 1.0}
+
+
 # ---------------------------------------------------------------- language model
 
 
