@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import keys, metrics, zipf
 from .operators.bandjoin import band_window_join
-from .operators.index import range_scan, upsert
+from .operators.index import lookup, range_scan, upsert
 from .plans import balance, routing
 from .sources.readers import file_stream, union_streams
 from .sources.sinks import parquet_sink
@@ -460,6 +460,28 @@ def index_upsert_lookup(spark, sf_dir):
     return now.filter(F.col("key") % 2 == 0).select("key", "event_id", "value")
 
 
+def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", "value", "event_type")
+    return upsert(rows.filter("event_type = 'signup'"), rows.filter("event_type = 'purchase'"), "key", F.col("event_id")).select("key", "event_id", "value")
+
+
+UPSERTED = "SELECT user_id AS key, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'purchase')) WHERE n = 1"
+
+
+@query(UPSERTED)
+def index_upsert(spark, sf_dir):
+    """Every key of the index."""
+    return upserted(spark, sf_dir)
+
+
+LOOKED_UP = 7
+
+
+@query(f"SELECT key, event_id, value FROM ({UPSERTED}) WHERE key = {LOOKED_UP}")
+def index_lookup(spark, sf_dir):
+    return lookup(upserted(spark, sf_dir), "key", LOOKED_UP)
+
+
 # the names under which the blueprint lists them
 for _new, _old in (("band_window_join", "band_window_join_binned"), ("union_streams", "union_both")):
     QUERIES[_new] = QUERIES.pop(_old)

@@ -38,3 +38,9 @@ def test_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 886
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_no_key_of_the_index_is_lost(spark, duck):
+    keys = {r[0] for r in duck.execute("SELECT DISTINCT user_id FROM events WHERE event_type IN ('signup', 'purchase')").fetchall()}
+    assert sorted(r.key for r in QUERIES["index_upsert"](spark, SF).collect()) == sorted(keys) and any(k % 2 for k in keys)
+    assert [r.key for r in QUERIES["index_lookup"](spark, SF).collect()] == [7]
