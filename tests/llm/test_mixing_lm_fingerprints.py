@@ -140,6 +140,19 @@ def test_scores_without_training_or_rows(spark):
     assert cm.scores(docs.limit(0)).count() == 0
 
 
+def test_rare_forms_shape_the_kinds(spark):
+    """Every training text counts: 6 texts of 6,000, which a sample of 2,000 may miss, are in the centres' sums."""
+    rows = [(i, f"plain words of the usual form {i}") for i in range(6000)] + [(10_000 + i, "\u6f22\u5b57" * 400) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    learned = docs.withColumn("learn", F.lit(True))
+    centres = cm.find_kinds(learned)
+    rare, plain = (cm.profiles(cm.Flat(cm.pa.array([t]), cm.LOWER)) for t in ("\u6f22\u5b57" * 400, rows[0][1]))
+    assert (rare @ centres.T).max() > 0.99 and (rare @ centres.T).argmax() != (plain @ centres.T).argmax()
+    sums = [cm.np.frombuffer(r.n, cm.np.int64).sum() for r in learned.select("text").mapInArrow(cm._nearest(centres), "sums binary, n binary, key double, far binary").collect()]
+    assert sum(sums) == len(rows)
+    assert ((cm.find_kinds(learned.repartition(7)) * centres).sum(1) > 0.999).all()  # rounding may move texts between two centres
+
+
 # ---------------------------------------------------------------- fingerprints
 
 
