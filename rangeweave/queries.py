@@ -176,7 +176,7 @@ def windowed(spark, sf_dir, surpass, behind, r_window, s_window, key="value", **
 
 @query(f"WITH {EVENTS} SELECT {EVENT_PAIR} {theta(1, 1, '6 HOURS', '6 HOURS')}")
 def band_window_join_binned(spark, sf_dir):
-    return event_pairs(windowed(spark, sf_dir, 1, 1, "6 HOURS", "6 HOURS", strategy="bin"))
+    return event_pairs(windowed(spark, sf_dir, 1, 1, "6 HOURS", "6 HOURS"))
 
 
 @query(f"WITH {EVENTS} SELECT {EVENT_PAIR} {theta(2, 0.5, '1 HOUR', '4 HOURS')}")
