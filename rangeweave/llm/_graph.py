@@ -29,3 +29,19 @@ def components(links: DataFrame) -> DataFrame:
         if not moved:
             drop_tables(edges)
             return labels
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` (node, class) of earlier links, or None, after more links (a, b); only classes that meet are gone over."""
+    if labels is None:
+        return components(links)
+    for side in "ab":
+        own = labels.select(F.col("node").alias(side), F.col("class").alias("of"))
+        links = links.join(own, side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+    links = written(links.filter("a <> b").distinct(), "meeting")
+    if links.isEmpty():
+        return labels
+    up = components(links).toDF("met", "into")
+    after = labels.join(up, labels["class"] == up["met"], "left").select("node", F.coalesce("into", "class").alias("class"))
+    alone = up.join(labels, up["met"] == labels["node"], "left_anti").select(F.col("met").alias("node"), F.col("into").alias("class"))
+    return written(after.unionByName(alone), "labels")

@@ -9,9 +9,10 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 NEAR_DUPLICATES = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM w, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+k AS (SELECT doc_id, shingle, CAST(floor(sqrt(strlen(shingle))) AS BIGINT) AS w FROM s),
+n AS (SELECT doc_id, sum(w) AS n FROM k GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w) AS c FROM k a JOIN k b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
 both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS class_id FROM documents UNION SELECT both_.b, r.class_id FROM r JOIN both_ ON both_.a = r.node)
 SELECT node AS doc_id, min(class_id) AS class_id FROM r GROUP BY node

@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import numpy as np
 import pyarrow as pa
 
 from rangeweave.llm import probminhash as pm
-from rangeweave.llm._graph import components
+from rangeweave.llm._graph import components, merged
 from rangeweave.llm._text import Texts
 
 from .helpers import by_id, documents, noise, saved, words
@@ -18,6 +19,17 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
+def weight(some):
+    return sum(math.isqrt(len(" ".join(x).encode())) for x in some)
+
+
+def alike(a, b, t=0.8):
+    """By probability Jaccard, from its definition; weights are the shingles' own."""
+    w, v = ({x: weight([x]) for x in side} for side in (a, b))
+    total = sum(w.values()) + sum(v[x] for x in v if x not in w)
+    return sum(w[x] / total for x in w if x in v) >= t - 1e-9
+
+
 def brute(texts, t=0.8):
     sets = [shingles(x) for x in texts]
     up = list(range(len(texts)))
@@ -28,7 +40,7 @@ def brute(texts, t=0.8):
         return i
 
     for i, j in itertools.combinations(range(len(texts)), 2):
-        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9:
+        if sets[i] and sets[j] and alike(sets[i], sets[j], t):
             a, b = top(i), top(j)
             up[max(a, b)] = min(a, b)
     return {i: top(i) for i in range(len(texts))}
@@ -85,12 +97,77 @@ def test_registers_estimate_the_probability_jaccard():
 def test_signature_does_not_depend_on_the_batch():
     column = pa.array([x or "" for x in noise(9, 20)])
     t = Texts(column)
-    doc, h, n = pm.weighted(t)
-    whole = pm.signatures(doc, h, pm.weights(n), t.n_docs)
+    doc, h, w = pm.weighted(t)
+    whole = pm.signatures(doc, h, w, t.n_docs)
     for i in range(t.n_docs):
         own = Texts(column[i : i + 1])
         d, x, c = pm.weighted(own)
-        assert (pm.signatures(d, x, pm.weights(c), 1)[0] == whole[i]).all()
+        assert (pm.signatures(d, x, c, 1)[0] == whole[i]).all()
+
+
+def test_weights_make_the_similarity_that_registers_estimate():
+    a, b = "one two three four five six seven", "one two three four five six eight"
+    t = Texts(pa.array([a, b, "x y"]))
+    doc, h, w = pm.weighted(t)
+    for d, text in enumerate((a, b, "x y")):
+        assert w[doc == d].sum() == weight(shingles(text))
+    both = weight(shingles(a) & shingles(b)) / weight(shingles(a) | shingles(b))
+    assert abs(pm.probability_jaccard(h[doc == 0], w[doc == 0], h[doc == 1], w[doc == 1]) - both) < 1e-9
+
+
+def test_texts_that_repeat_lines_are_found(spark):
+    """Pairs that share 150 words, each with a line of its own that it repeats up to 200 times: at least 0.99 are linked."""
+    r = random.Random(8)
+    texts = []
+    for k in range(200):
+        body = " ".join(f"b{k}x{r.randrange(10**6)}" for _ in range(150))
+        for side in "uv":
+            line = " ".join(f"{side}{k}y{r.randrange(10**6)}" for _ in range(12))
+            texts.append(body + f"\n{line}" * (5, 30, 200)[k % 3])
+    linked = brute(texts)
+    got = {row.doc_id: row.class_id for row in pm.classes(documents(spark, texts)).collect()}
+    want = [i for i in range(0, 400, 2) if linked[i] == linked[i + 1]]
+    assert len(want) >= 150
+    assert sum(got[i] == got[i + 1] for i in want) >= 0.99 * len(want)
+
+
+def test_pairs_grow_with_the_rows(spark, monkeypatch):
+    """Of texts that share most of a template and are not alike, pairs are made in proportion to the texts."""
+    made = []
+    kept = pm._verified
+
+    def counted(pairs, sets, t):
+        made.append(pairs.count())
+        return kept(pairs, sets, t)
+
+    monkeypatch.setattr(pm, "_verified", counted)
+    totals = []
+    for n in (60, 240):
+        made.clear()
+        r = random.Random(5)
+        base = [f"w{i}" for i in range(150)]
+        texts = []
+        for _ in range(n):
+            w = list(base)
+            for _ in range(8):
+                w[r.randrange(150)] = f"e{r.randrange(40)}"
+            texts.append(" ".join(w))
+        got = {row.doc_id: row.class_id for row in pm.classes(documents(spark, texts)).collect()}
+        assert got == brute(texts)
+        totals.append(sum(made))
+    assert totals[1] < 8 * totals[0] and totals[1] < 240 * 239 / 2 / 2
+
+
+def test_a_doc_id_with_different_texts_links_by_all_of_them(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(7, a), (7, b), (3, a + " end"), (9, b + " end"), (5, "alone and apart from all")], "doc_id long, text string")
+    assert {(row.doc_id, row.class_id) for row in pm.classes(docs).collect()} == {(7, 3), (3, 3), (9, 3), (5, 5)}
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))  # over a slice's bytes
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short one")], "doc_id long, text string")
+    assert {row.doc_id: row.class_id for row in pm.classes(docs).collect()} == {1: 1, 2: 1, 3: 3}
 
 
 def test_components(spark):
@@ -98,3 +175,12 @@ def test_components(spark):
     got = {r["node"]: r["class"] for r in components(links).collect()}
     assert got == {**{k: 1 for k in range(1, 6)}, 7: 7, 8: 7, 9: 7, **{k: 100 for k in range(100, 140)}}
     assert components(links.limit(0)).count() == 0
+
+
+def test_labels_merge_round_by_round(spark):
+    links = [(5, 4), (9, 8), (1, 2), (30, 31), (8, 4), (2, 40), (41, 42), (31, 41), (50, 51), (5, 9)]
+    of = None
+    for k in range(0, len(links), 3):
+        of = merged(of, spark.createDataFrame(links[k : k + 3], "a long, b long"))
+    want = {r["node"]: r["class"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {r["node"]: r["class"] for r in of.collect()} == want
