@@ -124,13 +124,115 @@ def test_the_two_values_of_a_bit_have_all_probability():
     mixer = cm.Mixer()
     mixer.by_part, mixer.by_gate = (r.uniform(0.01, 0.99, t.shape).astype(np.float32) for t in (mixer.by_part, mixer.by_gate))
     x, part, evidence = r.normal(size=(50, len(cm.CONTEXTS))).astype(np.float32), r.integers(1, 256, 50), r.integers(0, 20, 50)
-    one, zero = (mixer.predict(3, part, s * x, np.full(50, s, np.float32), evidence)[0] for s in (1, -1))
+    one, zero = (mixer.predict(3, part, s * x, np.full(50, s, np.float32), evidence) for s in (1, -1))
     assert np.allclose(one + zero, 1, atol=1e-5)
 
 
+def slow_bits(rows, steps=cm.STEPS):
+    """(cost of a (word, kind), mixer) from definitions: contexts are tuples in dictionaries, and decisions go one by one."""
+    seen = collections.defaultdict(lambda: [0.0, 0.0])
+
+    def decisions(word, kind):
+        data = word + b" "
+        for i, byte in enumerate(data):
+            for k in range(8):
+                part, bit = (byte | 256) >> (8 - k), byte >> (7 - k) & 1
+                names = [(j, data[max(0, i - order) if order else 0 : i], kind if kinded else None, part) for j, (order, kinded) in enumerate(cm.CONTEXTS)]
+                yield k, part, bit, names
+
+    for word, kind, n in rows:
+        for _, _, bit, names in decisions(word, kind):
+            for name in names:
+                seen[name][bit] += n
+
+    def inputs(bit, names, own):
+        came = [max(seen[x][bit] - own, 0) for x in names]
+        other = [seen[x][1 - bit] for x in names]
+        evidence = came[-2] + other[-2]
+        return np.array([math.log(c + 0.02) - math.log(o + 0.02) for c, o in zip(came, other)]), sum(evidence > x for x in cm.SEEN)
+
+    weights, c = np.full((cm.GATES, len(cm.CONTEXTS)), 0.25), len(cm.CONTEXTS)
+    mixed = lambda x, gate: min(max(float(weights[gate] @ x), -7.99), 7.99)
+    squash = lambda x: 1 / (1 + math.exp(-x))
+    for _ in range(steps):
+        slope, curve = np.zeros((cm.GATES, c)), np.zeros((cm.GATES, c, c))
+        for word, kind, n in rows:
+            for k, _, bit, names in decisions(word, kind) if n else ():
+                x, level = inputs(bit, names, 1)
+                gate = k * (len(cm.SEEN) + 1) + level
+                p = squash(mixed(x, gate))
+                slope[gate] += n * (1 - p) * x
+                curve[gate] += n * max(p * (1 - p), 1e-4) * np.outer(x, x)
+        for g in range(cm.GATES):
+            weights[g] += np.clip(np.linalg.solve(curve[g] + cm.PRIOR * np.eye(c), slope[g]), -1, 1)
+    ones, every = collections.Counter(), collections.Counter()
+    for word, kind, n in rows:
+        for k, part, bit, names in decisions(word, kind) if n else ():
+            x, level = inputs(bit, names, 1)
+            gate = k * (len(cm.SEEN) + 1) + level
+            knot = round((mixed(x, gate) * (1 if bit else -1) + 8) * 2)
+            for cell in (("part", part, knot), ("gate", gate, knot)):
+                ones[cell] += n * bit
+                every[cell] += n
+    table = lambda cell: (ones[cell] + cm.REFINE * squash(float(cm.KNOTS[cell[2]]))) / (every[cell] + cm.REFINE)
+
+    def cost(word, kind):
+        total = 0.0
+        for k, part, bit, names in decisions(word, kind):
+            x, level = inputs(bit, names, 0)
+            gate = k * (len(cm.SEEN) + 1) + level
+            m = mixed(x, gate)
+            place = (m * (1 if bit else -1) + 8) * 2
+            low, high = int(place), place - int(place)
+            one = sum(table((t, row, low)) * (1 - high) + table((t, row, low + 1)) * high for t, row in (("part", part), ("gate", gate))) / 4
+            total -= math.log2(min(max(0.5 * squash(m) + (one if bit else 0.5 - one), 1e-6), 1 - 1e-6))
+        return total
+
+    return cost
+
+
+def costs(spark, rows):
+    words_in = spark.createDataFrame([(bytearray(w), k, n, n) for w, k, n in rows], "word binary, kind byte, n long, c long")
+    blocks = words_in.filter("n > 0").repartition(2).mapInArrow(cm._tabled, "block long, seen binary").groupBy("block").applyInArrow(cm._added, "block long, seen binary")
+    seen = cm._folder(cm.written(blocks, "word-contexts"))
+    got = words_in.mapInArrow(cm._costed(seen, cm.learned(words_in, seen)), "hash long, c long, bits float").collect()
+    return {r.hash: r.bits for r in got}
+
+
+def test_bits_equal_a_model_made_of_dictionaries(spark):
+    rows = [(b"the", 0, 40), (b"then", 0, 9), (b"the", 1, 3), (b"that", 1, 1), (b"\n", 0, 20), (b"\n", 1, 4), ("né".encode(), 0, 2), (b"unseen", 1, 0), (b"thea", 0, 0)]
+    slow, got = slow_bits(rows), costs(spark, rows)
+    for word, kind, _ in rows:
+        h = int(cm.pair_hashes(cm._hashes(cm.pa.array([word], cm.pa.binary())), np.array([kind])).view(np.int64)[0])
+        assert abs(got[h] - slow(word, kind)) < 0.02 * max(1, slow(word, kind)), word
+
+
+def test_all_words_have_at_most_all_probability(spark):
+    """Over every word of up to two of four letters, learned from or not; others take the rest."""
+    letters = b"abcd"
+    every = [bytes([a]) for a in letters] + [bytes([a, b]) for a in letters for b in letters]
+    rows = [(w, 0, (7 * i) % 5) for i, w in enumerate(every)]
+    total = sum(2.0 ** -b for b in costs(spark, rows).values())
+    assert 0.8 < total <= 1 + 1e-6
+
+
+def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
+    docs = documents(spark, noise(16, 80))
+    kept, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in (2, 4, 8):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append(by_id(cm.scores(docs.repartition(parts + 1))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    for other in found[1:]:
+        assert all(math.isclose(other[i].score, r.score, rel_tol=1e-5) for i, r in found[0].items())
+
+
 def test_learning_beats_the_base_on_held_out_texts(spark):
     got = cm.op5_context_mixing(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert got[0] / got[2] > got[1] / got[2] - 0.1
+    print("held out, a token:", got[0] / got[2], "base:", got[1] / got[2])
+    assert got[0] > got[1]
 
 
 def test_scores_without_training_or_rows(spark):
