@@ -273,11 +273,12 @@ def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False, whole_check:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256, matches_library, and with ``keep_ids`` piece_ids (array<int>).
 
     Each word is checked against the library when it is first met; ``whole_check`` also gives it every whole text, which
-    takes about as long again.  Other columns are carried by place, so clashing names do no harm beyond those that the caller already has.
+    takes about as long again.  Columns of ``docs`` that have one of these names are replaced; all others are carried by place.
     """
-    columns, at = docs.columns, docs.columns.index("text")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()] + [pa.list_(pa.int32())] * keep_ids
     names = [c for c, _ in ADDED] + ["piece_ids"] * keep_ids
+    docs = docs.drop(*names)
+    columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
