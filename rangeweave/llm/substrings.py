@@ -6,9 +6,11 @@ need to be kept.  The index holds them in sorted immutable runs, bucketed tables
 
 A new batch's anchors become a run.  It is merge-joined with the runs before it, bucket by bucket and without a shuffle,
 which leaves the anchors that more than one document holds.  Windows under those anchors are then verified: every such
-window of the batch, and of the earlier documents, is compared by a 96-bit fingerprint of its whole word sequence.  A
-bitmap of bounded size keeps other windows out of that shuffle; it can pass too many, never too few.  Runs are compacted
-into one when there are ``FAN`` of them.
+window of the batch, and of the earlier documents, is compared by a 96-bit fingerprint of its whole word sequence, 64 bits of
+it from one hash of the words' bytes and 32 from another that shares nothing with it.  A bitmap of bounded size keeps other
+windows out of that shuffle; it can pass too many, never too few.  Earlier texts are read again for that, but only windows
+under a shared anchor are fingerprinted.  Runs are compacted into one when there are ``FAN`` of them, and later batches are
+joined with the compacted run.  ``manifest`` and ``FingerprintIndex.open`` carry an index from one job to another.
 
 A window of a batch goes if it also starts in an earlier batch, or in a document of the batch with a smaller doc_id; each
 word that such a window covers is removed.  Windows are judged on the input.  Null and empty texts have no words.  Rows
@@ -19,6 +21,7 @@ are each cut by their own words.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -36,7 +39,7 @@ WINDOW = 13
 INNER = 7
 EARLIER = -(2**63)  # stands for the documents of earlier batches
 FAN = 2
-BATCHES = 2
+BATCHES = 3
 
 
 def _anchors(hashes: np.ndarray, woff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,8 +84,8 @@ def _suspects(bitmap: str):
                 new[1:] = anchor[1:] != anchor[:-1]
                 first = first[_bitmap.test(bitmap, anchor[new])[np.cumsum(new) - 1]]
                 sides = []
-                for base, seed in ((0xA0761D6478BD642F, 0), (0xE7037ED1A0B428DB, 9)):
-                    own, h = mix(hashes, seed), np.zeros(len(first), U64)
+                for words, base, seed in ((hashes, 0xA0761D6478BD642F, 0), (t.other_hashes(), 0xE7037ED1A0B428DB, 9)):
+                    own, h = mix(words, seed), np.zeros(len(first), U64)
                     for j in range(WINDOW):
                         h = h * U64(base) + own[first + j]
                     sides.append(mix(h, seed + 1))
@@ -96,15 +99,36 @@ def _suspects(bitmap: str):
     return run
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.filter("doc_id is not null").withColumn("tie", F.xxhash64("text"))
+
+
 class FingerprintIndex:
     """``add`` takes the next batch of documents and returns the windows to remove from it."""
 
-    def __init__(self, spark: SparkSession, fan: int = FAN):
+    def __init__(self, spark: SparkSession, fan: int = FAN, earlier: DataFrame | None = None):
         self.spark, self.fan = spark, fan
         self.runs: list[tuple[str, str]] = []  # (table, folder)
-        self.batches: list[DataFrame] = []  # the documents that the runs stand for
+        self.earlier = earlier  # the documents (doc_id, text) that the runs stand for, one plan over their source
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def manifest(self) -> str:
+        """What ``open`` needs, as JSON: keep it, and don't ``close`` the index, to go on in another job."""
+        return json.dumps({"buckets": self.buckets, "fan": self.fan, "runs": [folder for _, folder in self.runs]})
+
+    @classmethod
+    def open(cls, spark: SparkSession, manifest: str, earlier: DataFrame) -> FingerprintIndex:
+        """An index of an earlier job; ``earlier`` holds the documents that it has taken in, all of them."""
+        kept = json.loads(manifest)
+        index = cls(spark, kept["fan"], _plain(earlier))
+        index.buckets = kept["buckets"]
+        for folder in kept["runs"]:
+            name = f"fingerprints_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} (anchor BIGINT, lo BIGINT, hi BIGINT) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {index.buckets} BUCKETS LOCATION '{folder}'")
+            index.runs.append((name, folder))
+        return index
+
     def _write_run(self, rows: DataFrame) -> tuple[str, str]:
         name, folder = f"fingerprints_{uuid.uuid4().hex}", fresh(self.spark, "run")
         rows = rows.groupBy("anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -120,9 +144,9 @@ class FingerprintIndex:
             found = found.unionByName(new.select("anchor").join(self.spark.table(old).select("anchor").hint("merge"), "anchor", "left_semi"))
         return found
 
-    def add(self, docs: DataFrame) -> DataFrame:
+    def add(self, docs: DataFrame, compact: bool = True) -> DataFrame:
         """(doc_id, tie, places): first words of the windows that go, for each document that has any."""
-        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null").withColumn("tie", F.xxhash64("text"))
+        docs = _plain(docs)
         run = self._write_run(docs.select("doc_id", "text").mapInArrow(_listed, "anchor long, doc_id long").select("anchor", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi")))
         free_shuffles(self.spark)
         shared = written(self._shared(run[0]), "shared")
@@ -134,8 +158,8 @@ class FingerprintIndex:
             places = self._verified(docs, bitmap)
         drop_tables(shared)
         self.runs.append(run)
-        self.batches.append(docs)
-        if len(self.runs) >= self.fan:
+        self.earlier = docs if self.earlier is None else self.earlier.unionByName(docs)
+        if compact and len(self.runs) >= self.fan:
             self.compact()
         free_shuffles(self.spark)
         return places if places is not None else self.spark.createDataFrame([], "doc_id long, tie long, places array<int>")
@@ -143,8 +167,8 @@ class FingerprintIndex:
     def _verified(self, docs: DataFrame, bitmap: str) -> DataFrame:
         kind = "h1 long, h2 int, doc_id long, tie long, place int"
         rows = docs.mapInArrow(_suspects(bitmap), kind).withColumn("fresh", F.lit(True))
-        for old in self.batches:
-            rows = rows.unionByName(old.mapInArrow(_suspects(bitmap), kind).withColumn("fresh", F.lit(False)))
+        if self.earlier is not None:
+            rows = rows.unionByName(self.earlier.mapInArrow(_suspects(bitmap), kind).withColumn("fresh", F.lit(False)))
         rows = written(rows, "suspects", "zstd")
         own = F.when(F.col("fresh"), F.col("doc_id")).otherwise(F.lit(EARLIER))
         same = rows.groupBy("h1", "h2").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
@@ -183,7 +207,9 @@ def cut_places(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     out, low = None, None
     for high in [*bounds, None]:
         part = docs if low is None else docs.filter(F.col("doc_id") > low)
-        found = index.add(part if high is None else part.filter(F.col("doc_id") <= high))
+        found = index.add(part if high is None else part.filter(F.col("doc_id") <= high), compact=high is not None)
+        # one filter over the source stands for all batches so far
+        index.earlier = _plain(docs if high is None else docs.filter(F.col("doc_id") <= high))
         out, low = found if out is None else out.unionByName(found), high
     index.close()
     return out
@@ -195,10 +221,12 @@ def without_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
     With ``digests``: doc_id, n_words, n_removed, kept_sha256 instead of the columns of ``docs``.
     """
     places = cut_places(docs).toDF("rw_doc", "rw_tie", "rw_places")
-    rows = docs.withColumn("rw_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rows.join(places, (F.col("doc_id").cast("long") == F.col("rw_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("rw_tie")), "left").drop("rw_doc", "rw_tie")
     columns = docs.columns
     text_at = columns.index("text")
+    # the caller's columns go by place, so that they may have any name
+    own_id, own_text = (F.col(f"c{columns.index(c)}").cast(k) for c, k in (("doc_id", "long"), ("text", "string")))
+    rows = docs.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("rw_text", F.coalesce(own_text, F.lit("")))
+    rows = rows.join(places, (own_id == F.col("rw_doc")) & (F.xxhash64(own_text) == F.col("rw_tie")), "left").drop("rw_doc", "rw_tie")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +257,7 @@ def without_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(arrays, part.schema.names[: len(columns)])
 
     if digests:
-        rows = rows.select(F.col("doc_id").cast("long"), *[F.lit(None).cast("string")] * (len(columns) - 1), "rw_text", "rw_places")
+        rows = rows.select(own_id, *[F.lit(None).cast("string")] * (len(columns) - 1), "rw_text", "rw_places")
         kinds = StructType([StructField(f"x{i}", k) for i, k in enumerate((LongType(), LongType(), LongType(), StringType()))])
         return rows.mapInArrow(cut, kinds).toDF("doc_id", "n_words", "n_removed", "kept_sha256")
     return rows.mapInArrow(cut, StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)])).toDF(*columns)

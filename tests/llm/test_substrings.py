@@ -59,7 +59,7 @@ def test_index_is_incremental(spark):
         for r in index.add(docs.filter(F.col("doc_id").between(low, high - 1))).collect():
             found[r.doc_id] = r.places
         assert len(index.runs) in (1, 2)
-    assert len(index.runs) == 1 and len(index.batches) == 3
+    assert len(index.runs) == 1
     run = spark.table(index.runs[0][0])
     assert run.groupBy("anchor").count().filter("count > 1").isEmpty()
     index.close()
@@ -85,3 +85,30 @@ def test_runs_join_without_a_shuffle(spark):
     plan = new.select("anchor").join(old.select("anchor").hint("merge"), "anchor", "left_semi")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     index.close()
+
+
+def test_index_goes_on_in_another_job(spark):
+    texts = noise(23, 90)
+    docs = documents(spark, texts).select("doc_id", "text")
+    index, found = ss.FingerprintIndex(spark, fan=2), {}
+    for low, high in ((0, 25), (25, 50)):
+        found |= {r.doc_id: r.places for r in index.add(docs.filter(F.col("doc_id").between(low, high - 1))).collect()}
+    assert len(index.runs) == 1  # compacted, and read again from here on
+    again = ss.FingerprintIndex.open(spark, index.manifest(), docs.filter("doc_id < 50"))
+    found |= {r.doc_id: r.places for r in again.add(docs.filter("doc_id >= 50")).collect()}
+    for i, (_, gone, _) in enumerate(brute(list(enumerate(texts)))):
+        assert len({p + k for p in found.get(i, []) for k in range(13)}) == gone
+    again.close()
+
+
+def test_words_have_two_hashes_of_their_bytes():
+    t = ss.Texts(ss.pa.array(["a b ab ba " + "x" * 100 + " " + "y" * 100, "a", ""]))
+    one, two = t.word_hashes(), t.other_hashes()
+    assert len(set(one.tolist())) == len(set(two.tolist())) == 6 and one[0] == one[6] and two[0] == two[6]
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))  # over a slice's bytes
+    docs = spark.createDataFrame([(1, long), (2, "before " + long)], "doc_id long, text string")
+    got = by_id(ss.without_repeats(docs, digests=True))
+    assert (got[1].n_removed, got[2].n_words, got[2].n_removed) == (0, 200_001, 200_000)
