@@ -23,21 +23,31 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays; of rows with its doc_id, one.  Rows without a doc_id stay."""
+    """One document of each class stays; of rows with its doc_id, that of the least hash.  Rows without a doc_id stay."""
     kept = written(classes(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("rw_kept")).distinct(), "kept")
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("rw_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    row = F.xxhash64(*docs.columns)
+    named = docs.select(F.struct(*docs.columns).alias("rw_row"), F.col("doc_id").cast("long").alias("rw_kept"), row.alias("rw_hash")).join(kept, "rw_kept", "left_semi")
+    # hashes alone are compared first, so that texts are not shuffled but for ids that several rows share
+    least = written(named.groupBy("rw_kept").agg(F.min("rw_hash").alias("rw_least"), F.count(F.lit(1)).alias("rw_n")).filter("rw_n > 1").drop("rw_n"), "least")
+    if not least.isEmpty():
+        single = named.join(least, "rw_kept", "left_anti").select("rw_row")
+        several = named.join(least, "rw_kept").filter("rw_hash = rw_least").dropDuplicates(["rw_kept"]).select("rw_row")
+        named = single.unionByName(several)
+    return named.select("rw_row.*").unionByName(docs.filter("doc_id is null"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut from the text; documents of which nothing stays go."""
-    cut = without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    cut = without_repeats(docs)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns).filter(F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with the wanted shares of sources, languages and topics."""
-    return weighed(docs).filter("mix_kept").select(*docs.columns)
+    """A sample with the wanted shares of sources, languages and topics; further columns may have any name."""
+    rows = docs.select(F.struct(*docs.columns).alias("rw_row"), "doc_id", "text", "source", "lang")
+    return weighed(rows).filter("mix_kept").select("rw_row.*")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
