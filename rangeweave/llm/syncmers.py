@@ -2,12 +2,15 @@
 
 A k-mer is ``K`` consecutive bytes of the UTF-8 text; it is an anchor if the least hash among its ``S``-byte substrings is
 that of its first or its last one.  That depends on the k-mer alone, so equal passages have equal anchors wherever they
-stand.  A fingerprint is the least ``SKETCH`` distinct anchor hashes; two are compared by the share of common ones among
-the least ``SKETCH`` of both, which estimates the Jaccard similarity of all anchors and is exact for short texts.
+stand.  What is compared are steps: an anchor, the next one, and how many bytes lie between their places.  Alike texts have
+anchors in common at the same distances from one another, whatever comes before; the same anchors elsewhere don't count.  A
+text's first anchor is a step by itself.  A fingerprint is the least ``SKETCH`` distinct hashes of steps; two are compared by
+the share of common ones among the least ``SKETCH`` of both, which estimates the Jaccard similarity of all steps and is exact
+for short texts.
 
-Each text is gone through once.  Its anchors, with their places, give three sketches: of the whole text, of the part that
-its own edited text keeps, and of the beginning that the edited text of the document before it takes.  An edited text's
-sketch is the least of two such parts and of the few k-mers across its seam.
+Each text is gone through once.  Its steps give three sketches: of the whole text, of the part that its own edited text
+keeps, and of the beginning that the edited text of the document before it takes.  An edited text's sketch is the least of
+two such parts and of the few steps across its seam.
 
 Texts shorter than ``K`` bytes have one anchor, the text itself; null and empty texts have none, and two of them are alike
 (1.0).  Texts are taken apart in blocks, so that a very long one needs little memory at once.  Documents follow one another
@@ -46,10 +49,16 @@ def anchors_sql(data: str) -> str:
     return _let(data, "whole", f"if(length(whole) < {K}, {short}, {blocks})")
 
 
-def sketch_sql(anchors: str, most: str | None = None) -> str:
-    """SQL for the least hashes of anchors, of those at places up to ``most`` if given."""
-    kept = anchors if most is None else f"filter({anchors}, a -> shiftright(a, 32) <= {most})"
-    return f"slice(sort_array(array_distinct(transform({kept}, a -> a & 4294967295))), 1, {SKETCH})"
+def steps_sql(anchors: str) -> str:
+    """SQL for the steps of anchors, as many as there are anchors: the first by itself, then each with the one before."""
+    step = "xxhash64(p[i - 1] & 4294967295, p[i] & 4294967295, shiftright(p[i], 32) - shiftright(p[i - 1], 32)) & 4294967295"
+    every = f"transform(sequence(0, size(p) - 1), i -> if(i = 0, xxhash64(p[0] & 4294967295) & 4294967295, {step}))"
+    return _let(anchors, "p", f"if(size(p) = 0, cast(array() as array<bigint>), {every})")
+
+
+def sketch_sql(steps: str) -> str:
+    """SQL for the least hashes of steps."""
+    return f"slice(sort_array(array_distinct({steps})), 1, {SKETCH})"
 
 
 def likeness(a: str, b: str) -> Column:
@@ -87,7 +96,7 @@ def in_sequence(docs: DataFrame) -> DataFrame:
 
     A guest stands at an edge of the bucket next to its own.
     """
-    rows = docs.withColumn("bucket", range_of(docs.select("doc_id"), "doc_id", ROWS_A_BUCKET))
+    rows = docs.withColumn("bucket", range_of(docs.select("doc_id"), "doc_id", ROWS_A_BUCKET, F.col("tie")))
 
     # each bucket's first and last row; as many rows as ranges, whose number is bounded, so small enough to broadcast
     ends = rows.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("real"), "doc_id", "tie")).alias("top"), F.min(F.struct(F.col("doc_id").isNotNull().alias("real"), "doc_id", "tie")).alias("low"))
@@ -115,13 +124,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     seam = f"concat(right_bytes, substring(cast(taken as binary), 1, {K - 1}))"
     rows = rows.withColumn("right_bytes", F.expr(f"substring(cast(own_part as binary), greatest(1, octet_length(own_part) - {K - 2}), {K - 1})"))
     rows = rows.withColumn("seam", F.expr(f"if(octet_length(own_part) + octet_length(taken) < {K} or octet_length(own_part) >= 1 and octet_length(taken) >= 1 and length({seam}) >= {K}, {seam}, cast('' as binary))"))
-    three = f"struct({sketch_sql('a')} as full, {sketch_sql('a', f'own_last - {K}')} as own, {sketch_sql('a', f'given_last - {K}')} as given)"
+    none, within = "cast(null as bigint)", "size(filter(a, x -> shiftright(x, 32) <= {0} - " + str(K) + "))"
+    parts = f"struct({sketch_sql('e')} as full, {sketch_sql('slice(e, 1, m)')} as own, {sketch_sql('slice(e, 2, greatest(n - 1, 0))')} as given, if(m > 0, a[m - 1], {none}) as last, if(n > 0, a[0], {none}) as first)"
+    parts = _let(within.format("own_last"), "m", _let(within.format("given_last"), "n", _let(steps_sql("a"), "e", parts)))
     rows = rows.withColumn("own_last", F.octet_length("own_part")).withColumn("given_last", F.octet_length("given"))
-    rows = rows.withColumn("s", F.expr(_let(anchors_sql("cast(text as binary)"), "a", three))).withColumn("across", F.expr(sketch_sql(anchors_sql("seam"))))
-    rows = rows.select("bucket", "side", "doc_id", "tie", "n_chars", "edited_sha256", "own_last", "across", F.col("s.full").alias("full"), F.col("s.own").alias("own"), F.col("s.given").alias("given"))
-
-    rows = rows.withColumn("next", F.lead(F.struct("full", "given")).over(order)).filter("side = 0")
-    rows = rows.withColumn("edited", F.expr(f"slice(sort_array(array_distinct(concat(own, across, next.given))), 1, {SKETCH})"))
+    rows = rows.withColumn("s", F.expr(_let(anchors_sql("cast(text as binary)"), "a", parts)))
+    # the seam's anchors, at their places in the edited text
+    rows = rows.withColumn("across", F.expr(f"transform({anchors_sql('seam')}, x -> x + shiftleft(cast(own_last - length(right_bytes) as bigint), 32))"))
+    rows = rows.select("bucket", "side", "doc_id", "tie", "n_chars", "edited_sha256", "own_last", "across", "s.full", "s.own", "s.given", "s.last", "s.first")
+
+    rows = rows.withColumn("next", F.lead(F.struct("full", "given", "first")).over(order)).filter("side = 0")
+    edge = "concat(if(last is null, cast(array() as array<bigint>), array(last)), across, if(next.first is null, cast(array() as array<bigint>), array(next.first + shiftleft(cast(own_last as bigint), 32))))"
+    # steps from the kept part's last anchor on; that one's own step is not the text's first but for a text that keeps none
+    rows = rows.withColumn("edge", F.expr(_let(steps_sql(edge), "e", "if(last is null, e, slice(e, 2, greatest(size(e) - 1, 0)))")))
+    rows = rows.withColumn("edited", F.expr(sketch_sql("concat(own, edge, next.given)")))
     return rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", spelt("full").alias("fingerprint"), spelt("edited").alias("edited_fingerprint"), likeness("full", "edited").alias("near_edited"), likeness("full", "next.full").alias("near_next"))
 
 

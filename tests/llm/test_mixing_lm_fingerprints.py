@@ -263,16 +263,26 @@ def signed(b):
     return v - (1 << 64) if v >> 63 else v
 
 
+def spark_hash(*values):
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64((v & (1 << 64) - 1).to_bytes(8, "little"), seed=seed).intdigest()
+    return seed & 0xFFFFFFFF
+
+
 def sketch(text, k=syncmers.K, s=syncmers.S):
-    b, out = text.encode(), set()
+    """Steps from anchor to anchor with the bytes between them."""
+    b, found = text.encode(), []
     if 0 < len(b) < k:
-        out.add(signed(b) & 0xFFFFFFFF)
+        found.append((0, signed(b) & 0xFFFFFFFF))
     h = [signed(b[i : i + s]) for i in range(len(b) - s + 1)]
     for i in range(len(b) - k + 1):
         v = h[i : i + k - s + 1]
         inner = min(v[1:-1])
         if min(v[0], v[-1]) < inner:
-            out.add(signed(b[i : i + k]) & 0xFFFFFFFF)
+            found.append((i, signed(b[i : i + k]) & 0xFFFFFFFF))
+    out = {spark_hash(found[0][1])} if found else set()
+    out |= {spark_hash(x, y, j - i) for (i, x), (j, y) in zip(found, found[1:])}
     return sorted(out)[: syncmers.SKETCH]
 
 
@@ -316,6 +326,23 @@ def test_positional_matches_find_the_shift(spark):
     assert (best.right_id, best["shift"]) == (2, len("another, longer beginning: ") - len("intro "))
 
 
+def test_likeness_goes_by_positions(spark):
+    """The same passages in another order keep their anchors but not the steps between passages."""
+    passages = [f"passage {c} of some words that belong to it alone {c * 3}" for c in "abcdefgh"]
+    gaps = "".join(x + "#" * (7 * i) for i, x in enumerate(passages))
+    docs = spark.createDataFrame([(3, " ".join(passages)), (2, "moved on: " + " ".join(passages)), (1, gaps)], "doc_id long, text string")
+    got = by_id(syncmers.fingerprints(docs))
+    assert got[3].near_next > 0.85 and got[2].near_next < got[3].near_next
+
+
+def test_rows_without_an_id_are_dealt_too(spark):
+    rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    many = syncmers.in_sequence(rows.withColumn("tie", F.xxhash64("text"))).filter("side = 0").groupBy("bucket").count().collect()
+    assert sum(r[1] for r in many) == 4000 and len(many) >= 7
+    got = syncmers.fingerprints(rows).collect()
+    assert len(got) == 4000 and all(0 <= r.near_next <= 1 for r in got)
+
+
 def test_native_plan(spark):
     plan = syncmers.op8_syncmers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
