@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -37,11 +37,18 @@ class JoinMonitor(StreamingQueryListener):
         p = event.progress
         kept = self.progress.setdefault(str(p.id), [])
         kept.append({
-            "batch": p.batchId, "input_rate": p.inputRowsPerSecond, "processed_rate": p.processedRowsPerSecond, "watermark": p.eventTime.get("watermark"),
+            "batch": p.batchId, "input_rate": p.inputRowsPerSecond, "processed_rate": p.processedRowsPerSecond, "input_rows": p.numInputRows,
+            "watermark": p.eventTime.get("watermark"), "event_min": p.eventTime.get("min"), "event_max": p.eventTime.get("max"),
             "stored": sum(s.numRowsTotal for s in p.stateOperators), "removed": sum(s.numRowsRemoved for s in p.stateOperators), "late": sum(s.numRowsDroppedByWatermark for s in p.stateOperators),
         })
         del kept[: -self.most]
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """What was kept, a row a query and batch: (query, batch, input_rows, rates, watermark, event_min, event_max, stored, removed, late)."""
+        kind = "query string, batch long, input_rows long, input_rate double, processed_rate double, watermark string, event_min string, event_max string, stored long, removed long, late long"
+        names = [x.split()[0] for x in kind.split(", ")]
+        return spark.createDataFrame([tuple({"query": q, **row}[c] for c in names) for q, rows in self.progress.items() for row in rows], kind)
+
     def onQueryIdle(self, event) -> None:
         pass
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,10 +14,19 @@ def zipf_cdf(spark: SparkSession, n: int, skew: float) -> DataFrame:
     return mass.crossJoin(F.broadcast(total)).select("key", (F.col("m") / F.col("total")).alias("probability"), (upto / F.col("total")).alias("cdf"))
 
 
+def uniform(number: Column, seed: int = 0) -> Column:
+    """52 bits of a hash, from 0 to 1."""
+    digits = F.substring(F.md5(F.concat(number.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(2.0**52)
+
+
 def zipf_sample(spark: SparkSession, rows: int, n: int, skew: float, seed: int = 0) -> DataFrame:
-    """(id, key): ``rows`` draws.  The cdf's n bounds ride along as one array and are bisected in place, with no join."""
+    """(id, key): ``rows`` draws, each from a hash of its id and the seed, so they are alike however they are dealt.
+
+    The cdf's n bounds ride along as one array and are bisected in place, with no join.
+    """
     bounds = zipf_cdf(spark, n, skew).agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "cdf"))), lambda x: x["cdf"]).alias("bounds"))
-    draws = spark.range(rows).withColumn("u", F.rand(seed)).crossJoin(F.broadcast(bounds))
+    draws = spark.range(rows).withColumn("u", uniform(F.col("id"), seed)).crossJoin(F.broadcast(bounds))
     state = "named_struct('lo', 0, 'hi', size(bounds) - 1)"
     step = "if(s.lo >= s.hi, s, if(bounds[(s.lo + s.hi) div 2] >= u, named_struct('lo', s.lo, 'hi', int((s.lo + s.hi) div 2)), named_struct('lo', int((s.lo + s.hi) div 2 + 1), 'hi', s.hi)))"
     steps = max(1, n).bit_length()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.bandjoin import bounded_broadcast
+
 FOREVER = 2**63 - 1
 CLOSING_DELAY_MS = 300  # fixed: a closed version serves probes this much longer
 
@@ -86,10 +88,15 @@ def fan_out(history: DataFrame, bins: int, width: float, below: float, above: fl
 def fan_out_at(fan: DataFrame, probes: DataFrame, ts: str, window_ms: int) -> DataFrame:
     """``probes`` (bin, a time in ms) with the partitions that may still hold rows in the window, bounds inclusive."""
     at = F.col(ts) - window_ms
-    return probes.join(F.broadcast(fan), "bin").filter(F.col("max_ts") >= at).withColumn("min_ts", F.greatest("min_ts", at))
+    return probes.join(bounded_broadcast(fan), "bin").filter(F.col("max_ts") >= at).withColumn("min_ts", F.greatest("min_ts", at))
 
 
 def replicated(rows: DataFrame, fan: DataFrame, route: DataFrame) -> DataFrame:
     """One copy of a row for each partition of its fan-out; the copy at its own partition is stored."""
-    own = F.broadcast(route.select("bin", F.col("partition").alias("store_partition")))
-    return rows.join(F.broadcast(fan.select("bin", "partition")), "bin").join(own, "bin").withColumn("mode", F.when(F.col("partition") == F.col("store_partition"), "store").otherwise("probe"))
+    own = bounded_broadcast(route.select("bin", F.col("partition").alias("store_partition")))
+    return rows.join(bounded_broadcast(fan.select("bin", "partition")), "bin").join(own, "bin").withColumn("mode", F.when(F.col("partition") == F.col("store_partition"), "store").otherwise("probe"))
+
+
+def placed(rows: DataFrame, partition: str, partitions: int) -> DataFrame:
+    """``rows`` in ``partitions`` tasks, each in the task that its ``partition`` (0, 1, ...) names; null ones are dropped."""
+    return rows.filter(F.col(partition).isNotNull()).repartitionById(partitions, F.col(partition).cast("int"))

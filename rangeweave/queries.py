@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, metrics, zipf
-from .operators.bandjoin import band_window_join
+from .operators.bandjoin import band_window_join, bounded_broadcast
 from .operators.index import lookup, range_scan, upsert
 from .plans import balance, routing
 from .sources.readers import file_stream, union_streams
@@ -199,6 +199,14 @@ def union_both(spark, sf_dir):
     return union_streams(*clicks_and_views(spark, sf_dir)).select("side", F.coalesce("first.event_id", F.lit(-1)).alias("first_id"), F.coalesce("second.event_id", F.lit(-1)).alias("second_id"))
 
 
+@query("SELECT CASE event_type WHEN 'click' THEN 'R' ELSE 'S' END AS side, count(*) AS rows_in, true AS stamped FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+def ingest_stamp(spark, sf_dir):
+    """Every row is stamped when it is taken in, not before it happened."""
+    rows = union_streams(*clicks_and_views(spark, sf_dir), ingest="ingest_ts")
+    happened = F.coalesce("first.ts", "second.ts").cast("timestamp")
+    return rows.groupBy("side").agg(F.count(F.lit(1)).alias("rows_in"), F.bool_and(F.coalesce(F.col("ingest_ts") >= happened, F.lit(False))).alias("stamped"))
+
+
 @query(f"WITH {EVENTS} SELECT {EVENT_PAIR} {theta(1, 1, '6 HOURS', '6 HOURS')}")
 def stream_band_window_join(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -217,6 +225,8 @@ def _shared(spark: SparkSession) -> str:
     if not named:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = known.get() if known.isDefined() else None
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not named:
         named = f"file://{tempfile.mkdtemp(prefix='rangeweave-')}"
         spark.sparkContext.setCheckpointDir(named)
@@ -399,6 +409,24 @@ def rebalanced_partition_load(spark, sf_dir):
     return balance.partition_load(dense_load(spark, sf_dir), new_route(spark, sf_dir), PARTITIONS).select("partition", "load")
 
 
+@query(f"""WITH RECURSIVE {BASE}, p AS ({PARTITION_LOAD.format('route')}), decided AS (SELECT sum(load) > 0 AND abs(max(load) - avg(load)) / avg(load) > 0.2 AS yes FROM p)
+SELECT bin, partition, true AS moved FROM moved, decided WHERE yes UNION ALL SELECT bin, partition, false AS moved FROM route, decided WHERE NOT yes""")
+def rebalance_decision(spark, sf_dir):
+    """The route table in force after a first decision."""
+    old = route(spark)
+    new = balance.Balancer(BINS, PARTITIONS).decide(load(spark, sf_dir), old)
+    return (old if new is None else new).select("bin", "partition", F.lit(new is not None).alias("moved"))
+
+
+@query(f"""WITH {SIDES}, {ROUTE}, rows_in AS (SELECT {BIN} AS bin FROM l WHERE day BETWEEN 1 AND 2281)
+SELECT partition, partition AS task, count(*) AS rows_in FROM rows_in JOIN route USING (bin) GROUP BY 1""")
+def placed_rows(spark, sf_dir):
+    """Each row in the task of its partition's number."""
+    rows = lineitem(spark, sf_dir).filter(keys.in_domain(F.col("day"))).select(keys.key_bin(F.col("day")).alias("bin")).join(bounded_broadcast(route(spark)), "bin")
+    placed = routing.placed(rows, "partition", PARTITIONS).withColumn("task", F.spark_partition_id())
+    return placed.groupBy("partition", "task").agg(F.count(F.lit(1)).alias("rows_in"))
+
+
 # ---------------------------------------------------------------- latency
 
 LATENCY = f"""{EVENTS}, pairs AS (SELECT r.event_id AS r_id, s.event_id AS s_id, greatest(r.ts, s.ts) AS seen_at, epoch_us(greatest(r.ts, s.ts)) // 1000 - epoch_us(least(r.ts, s.ts)) // 1000 AS latency_ms {theta(1, 1, '6 HOURS', '6 HOURS')})"""
@@ -441,9 +469,11 @@ def zipf_cdf(spark, sf_dir):
     return zipf.zipf_cdf(spark, ZIPF_KEYS, ZIPF_SKEW).select("key", F.round("probability", 9).alias("probability"), F.round("cdf", 9).alias("cdf"))
 
 
-@query()
+@query(f"""WITH m AS (SELECT CAST(i AS INTEGER) AS key, pow(i, -{ZIPF_SKEW}) AS m FROM range(1, {ZIPF_KEYS + 1}) t(i)),
+cdf AS (SELECT key, sum(m) OVER (ORDER BY key) / (SELECT sum(m) FROM m) AS cdf FROM m),
+draws AS (SELECT CAST('0x' || substr(md5(i || ':0'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM range(100000) t(i))
+SELECT key, count(*) AS n FROM draws ASOF JOIN cdf ON draws.u <= cdf.cdf GROUP BY key""")
 def zipf_sample(spark, sf_dir):
-    """Random draws: the tests hold their shares against the cdf."""
     return zipf.zipf_sample(spark, 100_000, ZIPF_KEYS, ZIPF_SKEW).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -29,8 +29,15 @@ def rate_stream(spark: SparkSession, rows_a_second: int = 100_000, partitions: i
     return rows.select(F.lit("rate").alias("source"), (F.lit(low) + share * (high - low)).alias("key"), F.col("timestamp").alias("ts"), F.col("value").cast("string").alias("payload"))
 
 
-def union_streams(r: DataFrame, s: DataFrame) -> DataFrame:
-    """Both sides in one frame: ``side`` R or S, and a struct each, one of them null."""
+def stamped(df: DataFrame, column: str = "ingest_ts") -> DataFrame:
+    """Rows with the time at which they were taken in, from which latency is measured; alike within a micro-batch."""
+    return df.withColumn(column, F.current_timestamp())
+
+
+def union_streams(r: DataFrame, s: DataFrame, ingest: str | None = None) -> DataFrame:
+    """Both sides in one frame: ``side`` R or S, and a struct each, one of them null; with ``ingest``, that column too."""
+    if ingest is not None:
+        return stamped(union_streams(r, s), ingest)
     r_row, s_row = F.struct(*r.columns), F.struct(*s.columns)
     left = r.select(F.lit("R").alias("side"), r_row.alias("first"), F.lit(None).cast(s.select(s_row.alias("x")).schema["x"].dataType).alias("second"))
     return left.unionByName(s.select(F.lit("S").alias("side"), F.lit(None).cast(r.select(r_row.alias("x")).schema["x"].dataType).alias("first"), s_row.alias("second")))
