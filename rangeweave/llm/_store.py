@@ -18,6 +18,8 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     if not root:
         root = Path(tempfile.mkdtemp(prefix="rangeweave-")).as_uri()
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
