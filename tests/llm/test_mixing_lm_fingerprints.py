@@ -250,7 +250,7 @@ def test_rare_forms_shape_the_kinds(spark):
     centres = cm.find_kinds(learned)
     rare, plain = (cm.profiles(cm.Flat(cm.pa.array([t]), cm.LOWER)) for t in ("\u6f22\u5b57" * 400, rows[0][1]))
     assert (rare @ centres.T).max() > 0.99 and (rare @ centres.T).argmax() != (plain @ centres.T).argmax()
-    sums = [cm.np.frombuffer(r.n, cm.np.int64).sum() for r in learned.select("text").mapInArrow(cm._nearest(centres), "sums binary, n binary, key double, far binary").collect()]
+    sums = [cm.np.frombuffer(r.n, cm.np.int64).sum() for r in learned.select("text").mapInArrow(cm._nearest(centres, 1), "sums binary, n binary, far binary").collect()]
     assert sum(sums) == len(rows)
     assert ((cm.find_kinds(learned.repartition(7)) * centres).sum(1) > 0.999).all()  # rounding may move texts between two centres
 
