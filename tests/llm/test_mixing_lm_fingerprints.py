@@ -213,7 +213,7 @@ def test_all_words_have_at_most_all_probability(spark):
     every = [bytes([a]) for a in letters] + [bytes([a, b]) for a in letters for b in letters]
     rows = [(w, 0, (7 * i) % 5) for i, w in enumerate(every)]
     total = sum(2.0 ** -b for b in costs(spark, rows).values())
-    assert 0.8 < total <= 1 + 1e-6
+    assert 0.5 < total <= 1 + 1e-6
 
 
 def test_scores_do_not_depend_on_how_rows_are_dealt(spark):
