@@ -123,6 +123,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     # partial counts shrink a hot payload before the shuffle; few payloads are left, and Spark splits a skewed join
     again = rows.filter("content is not null").groupBy("content").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = written(again, "payloads")
+    # short payloads have no group: a key of their own deals them out, where nulls would all meet in one task
+    rows = rows.withColumn("content", F.coalesce("content", F.concat(F.lit("short "), F.xxhash64("page_id", "url_key", "html").cast("string"))))
     rows = rows.join(again, "content", "left").withColumn("refers_to", F.when(F.coalesce(F.col("page_id"), F.lit(-(2**63))) != F.col("first"), F.col("first")))
     return written(rows.select("url_key", "page_id", "url", "html", "refers_to").mapInArrow(_archived(folder), CAPTURE), "captures")
 
