@@ -137,6 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     share = min(1.0, sample / max(total, 1))
     labels = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(labels), "doc_id")
+    # one text a doc_id, so that the sample is bounded in rows too
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = rows.mapInArrow(_sampled, "doc_id long, quality int, index array<int>, value array<float>, stats array<float>")
     return pickle.loads(rows.repartition(1).mapInArrow(_fitted, "model binary").first()[0])
 
