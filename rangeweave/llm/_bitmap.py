@@ -48,7 +48,7 @@ def build(keys: DataFrame, column: str) -> str:
     return files[0].rsplit("/", 1)[0]
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _load(uri: str) -> tuple[int, np.ndarray]:
     fs, path = filesystem(uri)
     bits = int(uri.rsplit("/", 1)[1].split("-")[1])

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 LONG_WORD = 64
@@ -24,8 +24,6 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _OTHER_BYTES = np.random.default_rng(20250117).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_OTHER_BASE = 0xC2B2AE3D27D4EB4F
-_OTHER_UNBASE = pow(_OTHER_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -130,10 +128,11 @@ class Texts(Flat):
         return self.spans(self.starts, self.ends)
 
     def other_hashes(self) -> np.ndarray:
-        """Hashes of the words' bytes that owe nothing to ``word_hashes``: words that collide there do not collide here."""
+        """Hashes of the words' bytes by other values of bytes than ``word_hashes``: words that collide there do not collide here."""
         n = len(self.data)
-        prefix = np.concatenate([np.zeros(1, U64), np.cumsum(_OTHER_BYTES[self.data] * _power(_OTHER_BASE, n), dtype=U64)])
-        h = (prefix[self.ends] - prefix[self.starts]) * _power(_OTHER_UNBASE, n + 1)[self.starts]
+        prefix = np.zeros(n + 1, U64)
+        np.cumsum(_OTHER_BYTES[self.data] * _power(_BASE, n), out=prefix[1:])
+        h = (prefix[self.ends] - prefix[self.starts]) * _power(_UNBASE, n + 1)[self.starts]
         h = mix(h ^ ((self.ends - self.starts).astype(U64) * U64(0xA24BAED4963EE407)), 77)
         for i in np.flatnonzero(self.ends - self.starts > LONG_WORD).tolist():
             h[i] = xxhash.xxh64_intdigest(self.data[self.starts[i] : self.ends[i]], 77)
