@@ -4,8 +4,9 @@ Ids are replaced by their rank in the corpus (0 the most frequent).  A rank take
 control bytes, two bits for each of four ids, so that numpy decodes whole documents by table lookup and no loop.
 
 A shard file: magic ``RWID1\\n``, then for each document its control bytes and its data bytes, then the footer, a JSON
-object with the rank-to-id table and each document's (doc_id, start, ids, control bytes, data bytes, offset), then the
-footer's length (8 bytes) and the magic again.  Shards hold ascending ranges of doc_id.
+object with each document's (doc_id, start, ids, control bytes, data bytes, offset) and the CRC-32 of the rank-to-id table,
+then the footer's length (8 bytes) and the magic again.  The table stands beside the shards in ``ranks``, the id of each
+rank as a little-endian unsigned 32-bit integer.  Shards hold ascending ranges of doc_id.
 
 Null and empty texts hold the end id alone.  Repeated doc_ids are written in turn, in the order of their text's hash.  An
 empty table gives no shards and no rows.
@@ -14,6 +15,7 @@ empty table gives no shards and no rows.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -65,6 +67,9 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- tokenizing
 
+#: Texts around every kind of cut; a tokenizer that gives them other ids when they are cut gets whole texts only.
+PROBE = ["", "a", " a", "a b", "A B c", "a. B, c; d: e! f?", "a.b,c", "a\nb", "a\n\nb", "\na\n", "a\n b", "x1 22 3,456.78", "it's I'll we've don't", "'s ll", "(a) [b] {c} \"d\"", "a-b a_b a/b", "#a *b $c", "éa bé, 漢字。 ß", "— a —b", "The end.\nOf it, then", ", a .b ;", "aaaa " * 9]
+
 
 def rare_space(data: np.ndarray) -> np.ndarray:
     """Where a character of Unicode's White_Space begins, but for space and newline."""
@@ -81,7 +86,8 @@ class PieceEncoder:
 
     Its pre-tokenizer breaks before a space between other characters, around up to two newlines, and between letters and
     the marks that end a word.  Texts are cut there; the library encodes each distinct piece once, and pieces already seen
-    are looked up by hash, whole arrays at a time.  Texts with other white space or special tokens go to the library whole.
+    are looked up by hash, whole arrays at a time.  Texts with other white space or special tokens go to the library whole,
+    and so do all texts where the loaded tokenizer breaks otherwise, which ``PROBE`` shows.
     """
 
     def __init__(self, path: str):
@@ -94,8 +100,13 @@ class PieceEncoder:
         size = self.library.get_vocab_size()
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        (self.newline,) = self._library(["\n"])[0]
+        newline = self._library(["\n"])[0]
+        self.newline, self.cuts = (newline or [-1])[0], len(newline) == 1
         self.forget()
+        if self.cuts:
+            ids, sizes = self(pa.array(PROBE))
+            self.cuts = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == self._library(PROBE)
+            self.forget()
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -146,7 +157,7 @@ class PieceEncoder:
             bad[2:] |= line[2:] & line[1:-1] & line[:-2]
             last = t.off[1:][t.off[1:] > 1] - 1
             bad[last] |= line[last] & line[last - 1]
-        whole = t.sums(bad) > 0
+        whole = (t.sums(bad) > 0) | (not self.cuts)
         raw = data.tobytes() if any(s[:2] in data.tobytes() for s in self.special) else b""
         if raw:
             whole |= np.array([any(s in raw[a:b] for s in self.special) for a, b in zip(t.off, t.off[1:])], bool)
@@ -232,14 +243,14 @@ def _ranked(rank_of: np.ndarray):
     return run
 
 
-def _shards(folder: str, before: dict[int, int], id_of: list[int]):
+def _shards(folder: str, before: dict[int, int], ranks: int):
     """Write runs of equal ``shard``; rows come in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out, docs, start = None, None, [], 0
 
         def close() -> pa.RecordBatch:
-            footer = json.dumps({"ids": id_of, "docs": docs}).encode()
+            footer = json.dumps({"ranks": ranks, "docs": docs}).encode()
             out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
             out.close()
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [f"{folder}/shard-{shard}.ids"], "docs": pa.array([len(docs)], pa.int64()), "bytes": pa.array([out.size], pa.int64())})
@@ -260,6 +271,15 @@ def _shards(folder: str, before: dict[int, int], id_of: list[int]):
     return run
 
 
+@lru_cache(1)
+def _ranks(path: str, crc: int) -> np.ndarray:
+    with open_file(path) as file:
+        data = file.read()
+    if zlib.crc32(data) != crc:
+        raise ValueError(f"{path} is not the table of these shards")
+    return np.frombuffer(data, "<u4")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path in batch.column("path").to_pylist():
@@ -270,7 +290,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 footer = json.loads(file.read_at(length, size - 8 - len(MAGIC) - length))
                 if tail[8:] != MAGIC or file.read_at(len(MAGIC), 0) != MAGIC:
                     raise ValueError(f"{path} is not a shard of ids")
-                id_of, rows = np.array(footer["ids"], "<u4"), []
+                id_of, rows = _ranks(path.rsplit("/", 1)[0] + "/ranks", footer["ranks"]), []
                 for doc_id, start, n, control, data, at in footer["docs"]:
                     body = file.read_at(control + data, at)
                     rows.append((doc_id, start, n, id_of[decode_ranks(body[:control], body[control:], n)].tobytes()))
@@ -308,7 +328,11 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, doc
     n_parts = max(1, min(len(before), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     coded = rows.select("shard", "doc_id", "tie", "n", "ids").mapInArrow(_ranked(rank_of), "shard long, doc_id long, tie long, n long, control binary, data binary")
     coded = coded.repartition(n_parts, "shard").sortWithinPartitions("shard", "doc_id", "tie")
-    manifest = written(coded.mapInArrow(_shards(folder, before, id_of), "shard long, path string, docs long, bytes long"), "token-shards")
+    table = np.array(id_of, "<u4").tobytes()
+    out = WholeFile(f"{folder}/ranks")
+    out.write(table)
+    out.close()
+    manifest = written(coded.mapInArrow(_shards(folder, before, zlib.crc32(table)), "shard long, path string, docs long, bytes long"), "token-shards")
     drop_tables(raw)
     return manifest
 

@@ -43,6 +43,16 @@ def test_encoder_on_random_joins_of_odd_parts():
     assert [ids[e - n : e].tolist() for e, n in zip(ends, sizes)] == library_ids(texts)
 
 
+def test_encoder_of_a_tokenizer_that_breaks_otherwise():
+    from tokenizers import Tokenizer
+
+    path, texts = public_tokenizers.path("word_bpe_49k.json"), [t or "" for t in noise(9, 60)] + ODD
+    encoder = token_ids.PieceEncoder(path)
+    ids, sizes = encoder(pa.array(texts))
+    assert not encoder.cuts and token_ids.PieceEncoder(BPE).cuts
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [x.ids for x in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 1000])
 def test_variable_length_code_round_trip(n):
     r = np.random.default_rng(n)
@@ -68,6 +78,10 @@ def test_damaged_shards_are_refused(spark, tmp_path):
         f.write(b"XX")
     with pytest.raises(Exception, match="is not a shard"):
         token_ids.read_ids(manifest).collect()
+    manifest = token_ids.write_ids(documents(spark, ["a b c"]), BPE, (tmp_path / "other").as_uri())
+    (tmp_path / "other" / "ranks").write_bytes(b"")
+    with pytest.raises(Exception, match="is not the table"):
+        token_ids.read_ids(manifest).collect()
 
 
 def test_numbers():
