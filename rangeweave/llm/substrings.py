@@ -144,12 +144,18 @@ class FingerprintIndex:
             found = found.unionByName(new.select("anchor").join(self.spark.table(old).select("anchor").hint("merge"), "anchor", "left_semi"))
         return found
 
-    def add(self, docs: DataFrame, compact: bool = True) -> DataFrame:
-        """(doc_id, tie, places): first words of the windows that go, for each document that has any."""
+    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
+        """(doc_id, tie, places): first words of the windows that go, for each document that has any.
+
+        ``last``: the index ends with this batch, so its runs go once they have been joined.
+        """
         docs = _plain(docs)
         run = self._write_run(docs.select("doc_id", "text").mapInArrow(_listed, "anchor long, doc_id long").select("anchor", F.col("doc_id").alias("lo"), F.col("doc_id").alias("hi")))
         free_shuffles(self.spark)
         shared = written(self._shared(run[0]), "shared")
+        self.runs.append(run)
+        if last:
+            self.close()
         if shared.isEmpty():
             places = None
         else:
@@ -157,9 +163,8 @@ class FingerprintIndex:
             free_shuffles(self.spark)
             places = self._verified(docs, bitmap)
         drop_tables(shared)
-        self.runs.append(run)
         self.earlier = docs if self.earlier is None else self.earlier.unionByName(docs)
-        if compact and len(self.runs) >= self.fan:
+        if len(self.runs) >= self.fan:
             self.compact()
         free_shuffles(self.spark)
         return places if places is not None else self.spark.createDataFrame([], "doc_id long, tie long, places array<int>")
@@ -207,7 +212,7 @@ def cut_places(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     out, low = None, None
     for high in [*bounds, None]:
         part = docs if low is None else docs.filter(F.col("doc_id") > low)
-        found = index.add(part if high is None else part.filter(F.col("doc_id") <= high), compact=high is not None)
+        found = index.add(part if high is None else part.filter(F.col("doc_id") <= high), last=high is None)
         # one filter over the source stands for all batches so far
         index.earlier = _plain(docs if high is None else docs.filter(F.col("doc_id") <= high))
         out, low = found if out is None else out.unionByName(found), high
