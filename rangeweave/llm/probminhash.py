@@ -254,15 +254,22 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         stars = _verified(tried, sets, threshold)
         of = components(links(stars))
         for heads in (HEADS, None):
-            more = written(_left_over(stars, of, threshold, heads).join(tried, ["a", "b"], "left_anti"), "pairs")
+            met, used = _left_over(stars, of, threshold, heads)
+            more = written(met.join(tried, ["a", "b"], "left_anti"), "pairs")
+            drop_tables(*used)
             tried = tried.unionByName(more)
-            of = merged(of, links(_verified(more, sets, threshold)))
-        drop_tables(sets)
+            compared = _verified(more, sets, threshold)
+            of = merged(of, links(compared))
+            drop_tables(compared)
+        drop_tables(sets, stars)
         free_shuffles(docs.sparkSession)
     copies = full.select("doc_id", "c1", "c2").join(nodes.drop("shown"), ["c1", "c2"]).select("doc_id", "node")
     if of is not None:
         copies = copies.join(of, "node", "left").select("doc_id", F.coalesce("class", "node").alias("node"))
-    return docs.select("doc_id").join(_named(written(copies.distinct(), "named")), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = written(copies.distinct(), "named")
+    drop_tables(signed, nodes, buckets, tried, involved)
+    free_shuffles(docs.sparkSession)
+    return docs.select("doc_id").join(_named(named), "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _named(copies: DataFrame) -> DataFrame:
@@ -275,8 +282,8 @@ def _named(copies: DataFrame) -> DataFrame:
     return copies.join(least, "node").select("doc_id", "class_id")
 
 
-def _left_over(stars: DataFrame, of: DataFrame, t: float, heads: int | None = None) -> DataFrame:
-    """Pairs (a, b) of members of one leader in different components that may be linked; see the top of the module.
+def _left_over(stars: DataFrame, of: DataFrame, t: float, heads: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of members of one leader in different components that may be linked, and the tables that they read.
 
     With ``heads``, only those with that many members of each cell, members of the leader's component first.
     """
@@ -287,10 +294,12 @@ def _left_over(stars: DataFrame, of: DataFrame, t: float, heads: int | None = No
     own = written(own, "members", "zstd")
     crowd = written(own.groupBy("lead").agg(F.count(F.lit(1)).alias("crowd")), "crowd")  # written, so that a hot leader's join can be split
     main = own.select("lead", "x").join(crowd, "lead").groupBy("x").agg(F.max(F.struct("crowd", "lead")).alias("m")).select("x", F.col("m.lead").alias("main"))
-    own = written(own.join(written(main, "main"), "x"), "members", "zstd")
+    main, before = written(main, "main"), own
+    own = written(own.join(main, "x"), "members", "zstd")
+    drop_tables(before, main, crowd)
     out = own.filter("cx <> cl")
     groups = written(out.select("lead").distinct(), "leads")
-    own = own.join(groups, "lead", "left_semi")
+    whole, own = own, own.join(groups, "lead", "left_semi")
 
     each = own.select("lead", "x", "cx", "cl", "main", "least", F.explode("more").alias("m"))
     each = written(each.select("lead", "x", "cx", "cl", "main", "least", F.col("m.more").alias("h"), F.col("m.mw").alias("w")), "lacking", "zstd")
@@ -299,11 +308,14 @@ def _left_over(stars: DataFrame, of: DataFrame, t: float, heads: int | None = No
     # the rarest ones, until what is left weighs too little to be all that a linked pair shares
     prefix = "aggregate(met, struct(sum as rest, cast(array() as array<bigint>) as out), (s, m) -> struct(s.rest - m.w as rest, if(s.rest >= least, concat(s.out, array(m.h)), s.out) as out), s -> s.out)"
     some = written(some.filter(F.col("sum") >= F.col("least")).select("lead", "x", "cx", "main", F.explode(F.expr(prefix)).alias("h")), "meeting", "zstd")
+    drop_tables(often)
     if heads is not None:
         # each task keeps the first members of its part of a cell before they meet, so a hot cell is no burden
+        lacking = each
         each = each.join(some.select("lead", "h").distinct(), ["lead", "h"], "left_semi")
         first = F.row_number().over(Window.partitionBy("lead", "h").orderBy(F.col("cx") != F.col("cl"), "x"))
         each = written(each.withColumn("nth", first).filter(F.col("nth") <= heads).drop("nth"), "heads")
+        drop_tables(lacking)
     here = lambda a, b: (F.col("lead") == F.col(a)) | (F.col(a) != F.col(b))
     other = each.select(F.col("lead").alias("lead_y"), F.col("h").alias("hy"), F.col("x").alias("y"), F.col("cx").alias("cy"), F.col("main").alias("main_y"))
     met = some.join(other, (F.col("lead") == F.col("lead_y")) & (F.col("h") == F.col("hy")) & (F.col("cx") != F.col("cy")) & here("main", "main_y")).select("x", "y")
@@ -314,7 +326,7 @@ def _left_over(stars: DataFrame, of: DataFrame, t: float, heads: int | None = No
     asked = small.filter("cx <> cl").select("lead", "x", "cx", "main", F.col("n").alias("nx"), F.col("most").alias("mx"), F.explode(F.sequence(band(F.ceil(t * F.col("n") - 1e-9)), band(F.col("most")))).alias("band"))
     fits = (F.col("ny") <= F.col("mx")) & (F.col("nx") <= F.col("my"))
     alike = asked.join(there, (F.col("lead") == F.col("lead_y")) & (F.col("band") == F.col("band_y")) & (F.col("cx") != F.col("cy")) & fits & here("main", "main_y")).select("x", "y")
-    return _pairs(met if heads is not None else met.unionByName(alike))
+    return _pairs(met if heads is not None else met.unionByName(alike)), [whole, groups, each, some]
 
 
 def op1_probminhash(spark, sf_dir: str) -> DataFrame:
