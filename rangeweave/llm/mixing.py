@@ -5,8 +5,11 @@ source, every language and every topic have the wanted shares; then each documen
 to its cell's weight, by a hash of its id and text, so that the same row is always decided alike.
 
 A topic is a band of form that the whole text shows: lists, figures, symbols, short or long prose.  Where no shares are
-given, no source may have more than ``MOST`` of the sample's tokens (twice an even share, if that is more): sources over
-that bound are thinned down to it, all others are kept whole, and languages and topics have the shares that this leaves.
+given, no level of a bounded margin may have more than ``MOST`` of the sample's tokens (twice an even share, if that is
+more): levels over that bound get it, and the others share the rest as they did.  Margins are gone through in turn, each
+with the masses that the targets before it leave, and margins without a bound keep the shares of those.  With one bounded
+margin, only its hot levels are thinned and all else is kept whole.  With several, as for ``op6_mixing``, whose sources and
+languages are both bounded, thinning one margin moves the other where the two go together, and it takes the fit to meet both.
 Null sources and languages are cells of their own; null and empty texts have no tokens and go with their cell, and cells
 without any tokens are kept.  Repeated rows with equal ids and texts are kept or dropped
 together.  Cells are summed before anything leaves a task, so hot sources need no care; up to ``CELLS`` cells are raked on
@@ -15,7 +18,7 @@ the driver, more of them as a table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -106,12 +109,12 @@ def tempered(mass: Mapping, most: float = MOST) -> dict:
     return {k: v / total for k, v in scaled.items()}
 
 
-def weighed(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, most: float = MOST) -> DataFrame:
+def weighed(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, most: float = MOST, bounded: Collection[str] = ("source",)) -> DataFrame:
     """``docs`` with mix_topic, mix_tokens, mix_weight, mix_probability and mix_kept.
 
     The largest weight has probability 1, so that the sample is the largest one of these shares without repeats.
-    ``targets`` may give the shares of a margin's levels; without them a source has at most ``most``, and languages and
-    topics follow the sources.
+    ``targets`` may give the shares of a margin's levels; without them a level of the ``bounded`` margins has at most
+    ``most``, and the other margins follow.
     """
     spark, targets = docs.sparkSession, targets or {}
     text = F.col("text").cast("string")
@@ -120,24 +123,30 @@ def weighed(docs: DataFrame, targets: Mapping[str, Mapping] | None = None, most:
     cells = written(rows.groupBy(*cell).agg(F.sum("mix_tokens").cast("double").alias("mass"), F.count(F.lit(1)).alias("docs")), "cells")
     if cells.count() <= CELLS:
         mass = {tuple(r[:3]): r[3] for r in cells.collect()}
-        own = _sums(mass, 0)
-        sources = dict(targets["source"]) if "source" in targets else tempered(own, most)
-        after = {k: v * sources.get(k[0], 0.0) / own[k[0]] if own[k[0]] else 0.0 for k, v in mass.items()}
-        shares = [sources, *(dict(targets[m]) if m in targets else _shares(_sums(after, i)) for i, m in enumerate(MARGINS) if i)]
+        after, shares = dict(mass), []
+        for i, m in enumerate(MARGINS):
+            own, total = _sums(after, i), sum(after.values())
+            shares.append(dict(targets[m]) if m in targets else tempered(own, most) if m in bounded else _shares(own))
+            after = {k: v * shares[-1].get(k[i], 0.0) * total / own[k[i]] if own[k[i]] else 0.0 for k, v in after.items()}
         raked = rake(mass, shares)
         whole = max(raked.values(), default=0.0)
         found = [(*k, w if mass[k] else whole) for k, w in raked.items()]
         weights = F.broadcast(spark.createDataFrame(found, "source string, lang string, topic string, weight double").coalesce(1))
     else:
-        given = {m: spark.createDataFrame(list(targets[m].items()), f"{m} string, share double") for m in MARGINS if m in targets}
-        own = written(cells.groupBy("source").agg(F.sum("mass").alias("own")), "sources")
-        if "source" not in given:
+        after, frames = cells.withColumn("now", F.col("mass")), []
+        for m in MARGINS:
+            own = written(after.groupBy(m).agg(F.sum("now").alias("own")), "levels")
             total, levels = own.filter("own > 0").agg(F.sum("own"), F.count(F.lit(1))).first()
-            hottest = [r[0] for r in own.select("own").orderBy(F.desc("own")).limit(int(1 / most) + 1).collect()]
-            given["source"] = _shared(own.select("source", F.least("own", F.lit(ceiling(hottest, total or 0.0, levels, most))).alias("share")))
-        thin = own.join(given["source"].withColumnRenamed("source", "level"), F.col("source").eqNullSafe(F.col("level")), "left").select("level", (F.coalesce("share", F.lit(0.0)) / F.when(F.col("own") > 0, F.col("own"))).alias("thin"))
-        after = cells.join(thin, F.col("source").eqNullSafe(F.col("level")), "left").withColumn("share", F.col("mass") * F.coalesce("thin", F.lit(0.0)))
-        frames = [given[m] if m in given else _shared(after.groupBy(m).agg(F.sum("share").alias("share"))) for m in MARGINS]
+            if m in targets:
+                share = spark.createDataFrame(list(targets[m].items()), f"{m} string, share double")
+            elif m in bounded:
+                hottest = [r[0] for r in own.select("own").orderBy(F.desc("own")).limit(int(1 / most) + 1).collect()]
+                share = _shared(own.select(m, F.least("own", F.lit(ceiling(hottest, total or 0.0, levels, most))).alias("share")))
+            else:
+                share = _shared(own.select(m, F.col("own").alias("share")))
+            frames.append(share)
+            thin = own.join(share.withColumnRenamed(m, "level"), F.col(m).eqNullSafe(F.col("level")), "left").select("level", (F.coalesce("share", F.lit(0.0)) * (total or 0.0) / F.when(F.col("own") > 0, F.col("own"))).alias("thin"))
+            after = after.join(thin, F.col(m).eqNullSafe(F.col("level")), "left").drop("level").withColumn("now", F.col("now") * F.coalesce("thin", F.lit(0.0))).drop("thin")
         weights = rake_table(cells.drop("docs"), frames)
         whole = weights.agg(F.max("weight")).first()[0] or 0.0
         weights = weights.select(*MARGINS, F.when(F.col("mass") > 0, F.col("weight")).otherwise(F.lit(whole)).alias("weight"))
@@ -166,4 +175,4 @@ def _shared(levels: DataFrame) -> DataFrame:
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
-    return weighed(docs).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+    return weighed(docs, bounded=("source", "lang")).select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))

@@ -82,6 +82,40 @@ def test_only_a_hot_source_is_thinned(spark, monkeypatch, cells):
     assert 80 < sum(r.mix_kept for r in got if r.source == "hot") < 190
 
 
+def uneven(spark):
+    """English has most tokens of all, and of source s0 most of all; no source is over the bound."""
+    rows = [(i, "words of one line " * (3 + i % 5), "en" if i % 10 < 6 + 2 * (i % 8 < 2) else ["de", "fr", "es"][i % 3], f"s{i % 8}") for i in range(600)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def test_query_rakes_languages_against_sources(spark, tmp_path):
+    docs = uneven(spark)
+    got = mixing.op6_mixing(spark, saved(docs, tmp_path)).collect()
+    mass, weight = collections.Counter(), collections.Counter()
+    for r in got:
+        for level in (r.source, r.lang):
+            mass[level] += r.n_tokens
+            weight[level] += r.weight * r.n_tokens
+    total = sum(r.n_tokens for r in got)
+    assert len(got) == 600 and mass["en"] / total > 0.6 and max(v for k, v in mass.items() if k[0] == "s") / total < mixing.MOST
+    assert abs(weight["en"] / total - 0.5) < 1e-6
+    assert all(abs(weight[f"s{i}"] - mass[f"s{i}"]) / total < 1e-6 for i in range(8))
+    # a source with much English has more weight than one with little, in every language: the fit works on both margins
+    of = {(r.source, r.lang): r.weight for r in got}
+    assert of["s0", "en"] > 1.02 * of["s2", "en"] and len({round(w, 6) for (_, lang), w in of.items() if lang == "en"}) > 2
+    expected = sum(r.probability for r in got)
+    assert abs(sum(r.kept for r in got) - expected) < 4 * math.sqrt(len(got)) and sum(r.kept for r in got) < 0.9 * len(got)
+
+
+def test_tables_of_cells_rake_like_the_driver(spark, monkeypatch):
+    docs = uneven(spark)
+    one = by_id(mixing.weighed(docs, bounded=("source", "lang")))
+    monkeypatch.setattr(mixing, "CELLS", 1)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)
+    many = by_id(mixing.weighed(docs, bounded=("source", "lang")))
+    assert all(abs(many[i].mix_weight - r.mix_weight) < 1e-2 for i, r in one.items())
+
+
 def test_shares_stay_under_the_bound():
     for mass in ({"a": 90.0, "b": 5.0, "c": 5.0, **{f"x{i}": 2.0 for i in range(9)}}, {"a": 400.0, "b": 300.0, "c": 200.0, **{i: 1.0 for i in range(40)}}):
         got = mixing.tempered(mass)
