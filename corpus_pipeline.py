@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rangeweave.llm._store import written
+from rangeweave.llm._store import small_batches, written
 from rangeweave.llm.mixing import weighed
 from rangeweave.llm.pieces import with_pieces
 from rangeweave.llm.probminhash import classes
@@ -19,11 +19,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    small_batches(spark)
     return rejecting(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays; of rows with its doc_id, that of the least hash.  Rows without a doc_id stay."""
+    small_batches(spark)
     kept = written(classes(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("rw_kept")).distinct(), "kept")
     row = F.xxhash64(*docs.columns)
     named = docs.select(F.struct(*docs.columns).alias("rw_row"), F.col("doc_id").cast("long").alias("rw_kept"), row.alias("rw_hash")).join(kept, "rw_kept", "left_semi")
@@ -38,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document holds are cut from the text; documents of which nothing stays go."""
+    small_batches(spark)
     cut = without_repeats(docs)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -54,7 +57,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their pieces."""
     import public_tokenizers
 
-    return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True)
+    small_batches(spark)
+    return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=True, keep_words=False)
 
 
 STAGES: list[tuple[str, Stage]] = [

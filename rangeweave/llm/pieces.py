@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from ._text import U64, Flat, Numbers, chunks, mix, ragged
+from ._text import U64, Flat, Numbers, chunks, mix, ragged, settle
 
 ROW = 24  # characters of the words that are merged as rows
 GROUPS = (5, 8, 12, ROW)  # words of like length share a matrix
@@ -269,11 +269,12 @@ def agenda(path: str) -> Agenda:
 ADDED = [("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()), ("matches_library", BooleanType())]
 
 
-def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False, whole_check: bool = False) -> DataFrame:
+def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False, whole_check: bool = False, keep_words: bool = True) -> DataFrame:
     """``docs`` with n_tokens, ids_sha256, decoded_sha256, matches_library, and with ``keep_ids`` piece_ids (array<int>).
 
     Each word is checked against the library when it is first met; ``whole_check`` also gives it every whole text, which
-    takes about as long again.  Columns of ``docs`` that have one of these names are replaced; all others are carried by place.
+    takes about as long again.  Without ``keep_words`` a worker forgets its words with each task, for jobs that go on with
+    something else.  Columns of ``docs`` that have one of these names are replaced; all others are carried by place.
     """
     kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_()] + [pa.list_(pa.int32())] * keep_ids
     names = [c for c, _ in ADDED] + ["piece_ids"] * keep_ids
@@ -292,6 +293,9 @@ def with_pieces(docs: DataFrame, path: str, keep_ids: bool = False, whole_check:
                 sha = [[hashlib.sha256(x.encode()).hexdigest() for x in v] for v in (joined, decoded)]
                 more = [[len(x) for x in ids], *sha, same] + [ids] * keep_ids
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v, k) for v, k in zip(more, kinds))], [*part.schema.names[:-1], *(f"x{i}" for i in range(len(kinds)))])
+        if not keep_words and agenda.cache_info().currsize:
+            agenda(path).forget()
+            settle()
 
     schema = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [StructField(f"x{i}", k) for i, (_, k) in enumerate(ADDED)])
     if keep_ids:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pyarrow as pa
+
 import corpus_pipeline
 from rangeweave.llm import mixing
 
@@ -45,3 +47,16 @@ def test_null_ids_and_empty_tables(spark, tmp_path):
     got = corpus_pipeline.STAGES[1][1](spark, corpus_pipeline.STAGES[0][1](spark, docs, ""), "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "None"]
     assert corpus_pipeline.run(spark, saved(docs.limit(0), tmp_path)).count() == 0
+
+
+def test_stages_send_few_texts_at_once(spark):
+    kind, key = documents(spark, ["a"]).schema, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for name in ("quality_rules", "near_duplicates", "substring_dedup", "sentencepiece"):
+            spark.conf.set(key, "10000")
+            dict(corpus_pipeline.STAGES)[name](spark, spark.createDataFrame([], kind), "")
+            sizes = spark.range(0, 2500, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+            assert max(r.n for r in sizes) <= 1000 and sum(r.n for r in sizes) == 2500, name
+    finally:
+        spark.conf.set(key, before)
